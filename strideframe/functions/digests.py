@@ -42,3 +42,22 @@ def content_digest(df: DataFrame, columns: list[str]) -> DataFrame:
     body = F.concat_ws("|", F.lit(header), F.col("n_rows").cast("string"),
                        F.col("a").cast("string"), F.col("b").cast("string"))
     return sums.select("n_rows", F.sha2(body, 256).alias("digest"))
+
+
+def set_digest(ids: Column) -> Column:
+    """Order-free digest of an id set of any size (aggregate over distinct ids).
+
+    Exact sums of two md5 numbers per id, so partial aggregates combine and nothing is gathered.
+    """
+    return F.struct(F.count(F.lit(1)).alias("n"), F.sum(_number(ids, 1)).alias("a"), F.sum(_number(ids, 17)).alias("b"))
+
+
+def _number(ids: Column, start: int) -> Column:
+    return F.conv(F.substring(F.md5(ids.cast("string")), start, 15), 16, 10).cast("decimal(20,0)")
+
+
+def digest_text(n: Column, a: Column, b: Column) -> Column:
+    """Hex digest of set sums; the sums of a difference of sets are the differences of the sums."""
+    zero = F.lit(0).cast("decimal(30,0)")
+    return F.sha2(F.concat_ws("|", n.cast("string"), F.coalesce(a, zero).cast("decimal(30,0)").cast("string"),
+                              F.coalesce(b, zero).cast("decimal(30,0)").cast("string")), 256)

@@ -15,7 +15,7 @@ def order_key(*parts: Column | str | int) -> Column:
     return F.md5(keyed(*parts))
 
 
-def hash_block(key: Column, digits: int = 3) -> Column:
+def hash_block(key: Column, digits: int = 2) -> Column:
     """Leading hex digits of an order key: evenly filled blocks that follow its order."""
     return F.substring(key, 1, digits)
 

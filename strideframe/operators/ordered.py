@@ -56,7 +56,7 @@ def previous(df: DataFrame, keys: list[str], block: str, value: str, name: str)
 
 
 def range_blocks(df: DataFrame, keys: list[str], order: list[str], block: str = "_block") -> DataFrame:
-    """Blocks for an order with no natural block: Spark's range partitions, pinned by a checkpoint."""
+    """Blocks for an order with no natural block: Spark's range partitions, pinned by a written table."""
     spread = df.repartitionByRange(*keys, *order).withColumn(block, F.spark_partition_id())
     return cut_lineage(spread)
 

@@ -184,7 +184,7 @@ SELECT CAST(c_nationkey AS VARCHAR) AS participant_id, 'c' || o_custkey || '-' |
   CAST(1 + CAST(round(o_totalprice * 100) AS BIGINT) % 83 AS DOUBLE) AS c,
   42 + o_orderkey % 3 AS seed, o_orderkey AS row_key
 FROM (SELECT *, CAST(CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS BIGINT) AS label
-      FROM orders JOIN customer ON o_custkey = c_custkey)))""")
+      FROM orders JOIN customer ON o_custkey = c_custkey))""")
 
 # --- study runs: every evaluation row is predicted by each run of the grid ----------------------
 
