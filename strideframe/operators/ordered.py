@@ -65,31 +65,43 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[flo
                     large_group: int = 5_000_000, splits: int = 1024) -> DataFrame:
     """Linear-interpolated quantiles per group, exact for groups of any size.
 
-    Groups up to `large_group` rows use the built-in `percentile`. A larger one is cut at approximate
-    quantiles (a bounded sketch) into value blocks; ranks come from block counts, so only the rows
-    sharing a block with a wanted rank are ordered.
+    Groups up to `large_group` rows use the built-in `percentile`. A larger one is cut into value
+    blocks at approximate quantiles (a bounded sketch); block counts tell which blocks hold the wanted
+    ranks, and only the rows of those blocks are shuffled and ordered.
     """
-    sized = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    known = df.where(F.col(value).isNotNull() & ~F.isnan(value))
+    sized = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     big = sized.where(F.col("_n") > large_group)
-    small = df.join(big, keys, "left_anti").groupBy(*keys).agg(
+    small = known.join(big, keys, "left_anti").groupBy(*keys).agg(
         *[F.expr(f"percentile(`{value}`, {s}D)").alias(n) for s, n in zip(shares, names)])
 
-    rows = df.join(big, keys).where(F.col(value).isNotNull())
+    rows = known.select(*keys, value).join(big.select(*keys), keys, "left_semi")
     cuts = rows.groupBy(*keys).agg(
         F.percentile_approx(value, [i / splits for i in range(1, splits)], 10_000).alias("_cuts"))
-    counted = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
-    placed = (counted.join(cuts, keys)
-              .withColumn("_block", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts"))
-    ranked_rows = sum_before(placed, keys, "_block", [value], "_c", "_before")
-    picked = []
-    for s, name in zip(shares, names):
-        place = (F.col("_n") - 1) * F.lit(s)
-        for edge, rank in (("lo", F.floor(place)), ("hi", F.ceil(place))):
-            hit = (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_c"))
-            picked.append(F.max(F.when(hit, F.col(value))).alias(f"_{name}_{edge}"))
-    edges = ranked_rows.groupBy(*keys).agg(F.first("_n").alias("_n"), *picked)
+    block = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
+    placed = rows.join(cuts, keys).withColumn("_block", block).drop("_cuts")
+
+    # ranks to find: the two neighbours of each quantile position
+    spots = F.array(*[F.struct(F.lit(n).alias("_name"), F.lit(edge).alias("_edge"), rank.alias("_rank"))
+                      for s, n in zip(shares, names)
+                      for edge, rank in (("lo", F.floor((F.col("_n") - 1) * F.lit(s))),
+                                         ("hi", F.ceil((F.col("_n") - 1) * F.lit(s))))])
+    earlier = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = (placed.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_c"))
+              .withColumn("_before", F.coalesce(F.sum("_c").over(earlier), F.lit(0))))
+    wanted = (blocks.join(big, keys).select("*", F.inline(spots))
+              .where((F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_c"))))
+    inside = placed.join(wanted.select(*keys, "_block").distinct(), [*keys, "_block"], "left_semi")
+    upto = W.partitionBy(*keys, "_block").orderBy(value)
+    counted = (inside.groupBy(*keys, "_block", value).agg(F.count(F.lit(1)).alias("_c"))
+               .withColumn("_last", F.sum("_c").over(upto)).withColumnRenamed("_c", "_times"))
+    found = counted.join(wanted, [*keys, "_block"]).where(
+        (F.col("_rank") < F.col("_before") + F.col("_last"))
+        & (F.col("_rank") >= F.col("_before") + F.col("_last") - F.col("_times")))
+    edges = found.groupBy(*keys).agg(F.first("_n").alias("_n"), *[
+        F.max(F.when((F.col("_name") == n) & (F.col("_edge") == e), F.col(value))).alias(f"_{n}_{e}")
+        for n in names for e in ("lo", "hi")])
+    part = lambda s: (F.col("_n") - 1) * F.lit(s) - F.floor((F.col("_n") - 1) * F.lit(s))
     large = edges.select(*keys, *[
-        (F.col(f"_{n}_lo") + (F.col(f"_{n}_hi") - F.col(f"_{n}_lo"))
-         * ((F.col("_n") - 1) * F.lit(s) - F.floor((F.col("_n") - 1) * F.lit(s)))).alias(n)
-        for s, n in zip(shares, names)])
+        (F.col(f"_{n}_lo") + (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) * part(s)).alias(n) for s, n in zip(shares, names)])
     return small.unionByName(large)

@@ -4,12 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from strideframe.functions.scalars import clock_text
 from strideframe.operators.ordered import range_blocks, ranked
 
 
+def semi_sessions(rows: DataFrame, ids: DataFrame, key: str = "session_id") -> DataFrame:
+    """Rows of the listed sessions; adaptive execution broadcasts a small list and splits hot keys."""
+    return rows.join(ids.select(key), key, "left_semi")
+
+
+def anti_pending(rows: DataFrame, done: DataFrame, key: str = "session_id") -> DataFrame:
+    """Rows of sessions not recorded yet."""
+    return rows.join(done.select(key), key, "left_anti")
+
+
 def mode_summary(sessions: DataFrame) -> DataFrame:
     """Sessions, distinct participants, duration and samples per mode, plus a total row.
 
@@ -30,17 +40,13 @@ def mode_summary(sessions: DataFrame) -> DataFrame:
 def participant_mode_crosstab(sessions: DataFrame, modes: Sequence[str]) -> DataFrame:
     """Duration per participant (rows) and mode (columns) with totals both ways."""
     seconds = F.coalesce("duration_seconds", F.lit(0.0))
-    cells = sessions.groupBy("participant", "mode").agg(seconds_sum(seconds).alias("_d"))
+    cells = sessions.groupBy("participant", "mode").agg(F.sum(seconds).alias("_d"))
     sums = [F.coalesce(F.sum(F.when(F.col("mode") == m, F.col("_d"))), F.lit(0.0)).alias(m) for m in modes]
     table = cells.rollup("participant").agg(F.grouping("participant").alias("_total"), *sums, F.sum("_d").alias("total"))
     return table.select(F.when(F.col("_total") == 1, "Total").otherwise(F.col("participant")).alias("participant"),
                         *[F.col(m) for m in modes], "total")
 
 
-def seconds_sum(seconds: Column) -> Column:
-    return F.sum(seconds)
-
-
 def dedupe_conflicts(runs: DataFrame, key: str, values: Sequence[str], path: str) -> DataFrame:
     """One row per run (lowest path); copies with other values raise.
 
