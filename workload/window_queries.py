@@ -147,9 +147,10 @@ def iqr(spark, sf):
     return grouped(spark, sf, v.config(), ["interquartile_range"]).select(*KEYS, r("interquartile_range"))
 
 
-@query("mean_abs_deviation", stats_oracle("round(avg(abs(value - group_mean)), 6) AS mean_absolute_deviation"))
+@query("mean_abs_deviation", stats_oracle("round(avg(abs(value - group_mean)), 9) AS mean_absolute_deviation"))
 def mean_abs_deviation(spark, sf):
-    return grouped(spark, sf, v.config(), ["mean_absolute_deviation"]).select(*KEYS, r("mean_absolute_deviation"))
+    return grouped(spark, sf, v.config(), ["mean_absolute_deviation"]).select(
+        *KEYS, F.round("mean_absolute_deviation", 9).alias("mean_absolute_deviation"))
 
 
 @query("jerk_features", stats_oracle("""round(coalesce(avg(abs(jerk)), 0), 9) AS mean_absolute_jerk,
