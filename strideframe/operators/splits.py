@@ -247,8 +247,3 @@ def condition_training_frame(condition: str, source: DataFrame, local: DataFrame
     raise ValueError(f"unknown training condition {condition!r}")
 
 
-def require_classes(frame: DataFrame, labels: Sequence[int]) -> None:
-    """Raise unless exactly the wanted classes occur (a handful of values reach the driver)."""
-    found = {r[0] for r in frame.select("label").distinct().limit(len(labels) + 1).collect()}
-    if found != set(labels):
-        raise ValueError(f"training rows hold classes {sorted(found)}, wanted {sorted(labels)}")
