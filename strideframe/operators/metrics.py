@@ -101,6 +101,12 @@ def confusion_sums(predictions: DataFrame, labels: Mapping[str, int], by: Sequen
     return predictions.groupBy(*by).agg(*Sums(labels, prefix).aggregates())
 
 
+def rollup_sums(cells: DataFrame, labels: Mapping[str, int], by: Sequence[str] = (), prefix: str = "") -> DataFrame:
+    """Confusion sums of coarser groups from those of finer ones."""
+    return cells.groupBy(*by).agg(*[
+        F.coalesce(F.sum(n), F.lit(0).cast("bigint")).alias(n) for n in Sums(labels, prefix).names()])
+
+
 def _per_class(sums: DataFrame, labels: Mapping[str, int], by: Sequence[str], build) -> DataFrame:
     return sums.select(*by, F.inline(F.array(*[build(name, value) for name, value in labels.items()])))
 
@@ -187,7 +193,11 @@ def mode_metric_table(predictions: DataFrame, labels: Mapping[str, int], identit
                       fold: str | None = None) -> DataFrame:
     """Per-class rows for every run, or for every run and fold, in report order."""
     by = [*identity, *([fold] if fold else [])]
-    table = per_class_metrics(confusion_sums(predictions, labels, by), labels, by)
+    return mode_rows(confusion_sums(predictions, labels, by), labels, by)
+
+
+def mode_rows(sums: DataFrame, labels: Mapping[str, int], by: Sequence[str]) -> DataFrame:
+    table = per_class_metrics(sums, labels, by)
     position = lookup(F.col("transport_mode"), {name: i for i, name in enumerate(labels)})
     return table.withColumn("mode_position", position).orderBy(*by, "mode_position")
 
@@ -210,8 +220,11 @@ def transfer_curve(runs: DataFrame, metrics: Sequence[str] = STUDY_METRICS) -> D
 
 def class_curve(predictions: DataFrame, labels: Mapping[str, int]) -> DataFrame:
     """Mean F1 per class over the seeds of a condition and fraction."""
-    identity = ["condition", "fraction", "seed"]
-    table = per_class_metrics(confusion_sums(predictions, labels, identity), labels, identity)
+    return class_means(confusion_sums(predictions, labels, ["condition", "fraction", "seed"]), labels)
+
+
+def class_means(run_sums: DataFrame, labels: Mapping[str, int]) -> DataFrame:
+    table = per_class_metrics(run_sums, labels, ["condition", "fraction", "seed"])
     return (table.where("fraction > 0").groupBy("condition", "fraction", "transport_mode")
             .agg(F.avg("f1").alias("mean_f1"), F.count(F.lit(1)).alias("seeds")))
 

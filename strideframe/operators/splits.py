@@ -161,11 +161,11 @@ def nested_calibration(sessions: DataFrame, fractions: Sequence[float], seeds: S
 
 def effective_fractions(sessions: DataFrame, selection: DataFrame) -> DataFrame:
     """What share of the pool's sessions, windows and duration each selection holds."""
-    seconds = (F.col("window_end_ms") - F.col("window_start_ms")) / 1000.0
+    span = F.sum(F.col("window_end_ms") - F.col("window_start_ms")) / 1000.0
     pool = training_pools(sessions).groupBy("held_out_participant_id").agg(
-        F.count(F.lit(1)).alias("_s"), F.sum("window_rows").alias("_w"), F.sum(seconds).alias("_d"))
+        F.count(F.lit(1)).alias("_s"), F.sum("window_rows").alias("_w"), span.alias("_d"))
     chosen = selection.groupBy("held_out_participant_id", "seed", "fraction").agg(
-        F.count(F.lit(1)).alias("sessions"), F.sum("window_rows").alias("windows"), F.sum(seconds).alias("duration_seconds"),
+        F.count(F.lit(1)).alias("sessions"), F.sum("window_rows").alias("windows"), span.alias("duration_seconds"),
         set_digest(F.col("session_id")).alias("_x"))
     return chosen.join(pool, "held_out_participant_id").select(
         "held_out_participant_id", "seed", "fraction", "sessions", "windows", "duration_seconds",

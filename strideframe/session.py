@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -49,12 +49,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def partitioned(df: DataFrame, by: Sequence[str]) -> DataFrameWriter:
+    """Writer into folders by columns, with few files per folder.
+
+    Rows are gathered by folder first; adaptive execution splits a folder that holds most of them.
+    """
+    return df.hint("rebalance", *by).write.partitionBy(*by) if by else df.write
+
+
 def cut_lineage(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write once to the shared folder and read back; survives the loss of executors.
 
     Later filters on `partition_by` columns skip whole folders.
     """
     path = scratch_path(df.sparkSession, "stage")
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
+    partitioned(df, partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])

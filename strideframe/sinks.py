@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from strideframe.functions.digests import content_digest
+from strideframe.session import partitioned
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -36,10 +37,7 @@ def atomic_write(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     if is_complete(spark, path):
         return None
     seen = Observation()
-    writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    partitioned(df.observe(seen, F.count(F.lit(1)).alias("rows")), partition_by).mode("overwrite").parquet(path)
     rows = int(seen.get["rows"])
     spark.range(1).select(F.lit(rows).cast("bigint").alias("rows"), F.lit(df.schema.json()).alias("schema")).write.mode(
         "overwrite").json(f"{path}/_manifest")
@@ -78,4 +76,4 @@ def write_delimited(df: DataFrame, path: str) -> None:
 
 def write_predictions(df: DataFrame, path: str, by: Sequence[str] = ("run_name", "held_out_participant_id")) -> None:
     """Fold predictions, one folder per run and fold; pooled reads are partition scans."""
-    df.write.mode("overwrite").partitionBy(*by).parquet(path)
+    partitioned(df, by).mode("overwrite").parquet(path)

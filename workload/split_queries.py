@@ -105,9 +105,9 @@ def nested_calibration(spark, sf):
 SELECT x.held_out_participant_id, seed, fraction, sessions, windows, round(d, 6) AS duration_seconds, round(sessions / ps, 6) AS session_fraction,
   round(windows / pw, 6) AS window_fraction, round(d / pd, 6) AS duration_fraction, sha256(sessions || '|' || a || '|' || b) AS session_digest
 FROM (SELECT held_out_participant_id, seed, fraction, count(*) AS sessions, CAST(sum(window_rows) AS BIGINT) AS windows,
-    sum((window_end_ms - window_start_ms) / 1000.0) AS d, sum(('0x' || substr(md5(session_id), 1, 15))::HUGEINT) AS a,
+    sum(window_end_ms - window_start_ms) / 1000.0 AS d, sum(('0x' || substr(md5(session_id), 1, 15))::HUGEINT) AS a,
     sum(('0x' || substr(md5(session_id), 17, 15))::HUGEINT) AS b FROM selection GROUP BY ALL) x
-JOIN (SELECT held_out_participant_id, count(*) AS ps, sum(window_rows) AS pw, sum((window_end_ms - window_start_ms) / 1000.0) AS pd
+JOIN (SELECT held_out_participant_id, count(*) AS ps, sum(window_rows) AS pw, sum(window_end_ms - window_start_ms) / 1000.0 AS pd
   FROM pools WHERE seed = 42 GROUP BY ALL) p ON p.held_out_participant_id = x.held_out_participant_id""", *SELECTION))
 def effective_fractions(spark, sf):
     found = sp.effective_fractions(*selection(spark, sf))
