@@ -195,7 +195,7 @@ def group_features(rows: DataFrame, config: FeatureConfig, names: list[str] | No
     return groups
 
 
-def feature_frame(events: DataFrame, config: FeatureConfig, order: str = "seq",
+def feature_frame(events: DataFrame, config: FeatureConfig, order: str | None = "seq",
                   expected_domain: str | None = None) -> DataFrame:
     """Wide float32 feature table: one row per window that passes the sampling gate.
 

@@ -180,13 +180,16 @@ def quality_gate(rows: DataFrame, config: FeatureConfig) -> DataFrame:
         (F.count_if("passes") == wanted).alias("kept"))
 
 
-def session_baseline(events: DataFrame, sensors: list[str], order: str = "seq",
+def session_baseline(events: DataFrame, sensors: list[str], order: str | None = "seq",
                      large_group: int = 5_000_000) -> DataFrame:
-    """First finite pressure and exact median magnetometer magnitude per session."""
+    """First finite pressure and exact median magnetometer magnitude per session.
+
+    Pressures at the same first timestamp are told apart by `order`, else by their value.
+    """
     result = events.select(SESSION).distinct()
     if "pressure" in sensors:
         p = magnitude(F.col("p"))
-        when = F.when(p.isNotNull(), F.struct("timestamp_ms", order))
+        when = F.when(p.isNotNull(), F.struct("timestamp_ms", order or "p"))
         result = events.groupBy(SESSION).agg(F.min_by(p, when).alias("pressure_baseline"))
     if "magnetometer" in sensors:
         sizes = events.select(SESSION, magnitude(*[F.col(a) for a in SENSOR_AXES["magnetometer"]]).alias("_m"))

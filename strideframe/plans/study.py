@@ -11,7 +11,7 @@ from strideframe.config import StudyGrid
 from strideframe.operators.metrics import confusion_sums, overall_metrics, per_class_metrics
 from strideframe.operators.models import IDENTITY_COLUMNS, Classifier, fit_classifier, predict_frame
 from strideframe.operators.splits import (
-    condition_training_frame, leakage_check, nested_calibration, session_rollup)
+    MOST_FOLDS, condition_training_frame, leakage_check, nested_calibration, session_rollup)
 from strideframe.operators.weights import class_weights
 from strideframe.plans.jobs import side_by_side
 from strideframe.plans.search import _union
@@ -68,7 +68,9 @@ def _run_missing(source: DataFrame, local: DataFrame, columns: Sequence[str], la
     calibrated = any(f > 0 for _, f, _ in runs)
     selection = cut_lineage(nested_calibration(session_rollup(local), grid.fractions, grid.seeds),
                             ["seed", "fraction"]) if calibrated else None
-    people = sorted(r[0] for r in local.select("participant_id").distinct().collect())
+    people = sorted(r[0] for r in local.select("participant_id").distinct().limit(MOST_FOLDS + 1).collect())
+    if len(people) > MOST_FOLDS:
+        raise ValueError(f"leave-one-out over more than {MOST_FOLDS} participants")
 
     def fit(train: DataFrame, seed: int) -> Classifier:
         return fit_classifier(train, columns, values, params, seed, class_weights, all_classes=True)

@@ -40,6 +40,6 @@ def pending(events: DataFrame, target: str, key: str = "session_id") -> DataFram
     return events.join(spark.read.parquet(target).select(key).distinct(), key, "left_anti")
 
 
-def incremental_features(events: DataFrame, config: FeatureConfig, target: str, order: str = "seq") -> None:
+def incremental_features(events: DataFrame, config: FeatureConfig, target: str, order: str | None = "seq") -> None:
     """Compute and append the features of new sessions."""
     append_unseen(feature_frame(pending(events, target), config, order), target)

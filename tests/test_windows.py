@@ -129,3 +129,16 @@ def test_fft_and_fourier_sum_agree(spark):
     assert right and set(right) <= set(left)
     for key, row in right.items():
         assert left[key] == pytest.approx(row, rel=1e-6, abs=1e-9)
+
+
+def test_features_arrive_once_without_a_sequence_column(spark, tmp_path):
+    from strideframe.plans.prepare import build_features
+    first, second = events(spark, [0, 500, 1000]).drop("seq"), events(spark, [0, 500, 900], session="s2").drop("seq")
+    c = config(stats=("mean", feat.BASELINED))
+    target = str(tmp_path / "features")
+    assert starts(build_features(first, c, target)) == [0]
+    for _ in range(2):
+        found = build_features(first.unionByName(second), c, target)
+        assert values(found, "session_id", "window_start_ms") == [("s1", 0), ("s2", 0)]
+    # pressure 1000, 1001 in the window against 1000 at the start
+    assert found.where("session_id = 's1'").first()["pressure#delta_from_session_baseline"] == pytest.approx(0.5)

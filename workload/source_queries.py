@@ -410,10 +410,12 @@ def log_membership(spark, sf):
     return records.log_membership(named)
 
 
+# every trial lists every class, with zeros where a class does not occur
 METRIC_DOCS = ("docs", """
-SELECT 'run' || c_nationkey AS run_id, o_orderpriority AS trial, label, count(*) AS support, count(*) FILTER (WHERE prediction = label) AS right_rows,
+SELECT 'run' || participant_id AS run_id, phone_position AS trial, label, count(row_key) AS support, count(*) FILTER (WHERE prediction = label) AS right_rows,
   [count(*) FILTER (WHERE prediction = 0), count(*) FILTER (WHERE prediction = 1), count(*) FILTER (WHERE prediction = 2)] AS counts
-FROM (SELECT *, CAST(participant_id AS INT) AS c_nationkey, phone_position AS o_orderpriority FROM predictions) GROUP BY ALL""")
+FROM (SELECT DISTINCT participant_id, phone_position FROM predictions) CROSS JOIN (SELECT CAST(range AS BIGINT) AS label FROM range(3))
+LEFT JOIN predictions USING (participant_id, phone_position, label) GROUP BY ALL""")
 
 
 def metric_documents(spark, sf):
@@ -445,14 +447,14 @@ def metric_documents(spark, sf):
 TRIALS = ("trials", """
 SELECT run_id, trial, concat_ws('-', CASE WHEN trial[1:1] <> '1' THEN 't' || trial[1:1] END, 'source', substr(h, 1, 8)) AS trial_name, h AS trial_hash,
   CASE WHEN trial[1:1] <> '5' THEN CAST(trial[1:1] AS BIGINT) END AS trial_index, label, support, counts, right_rows,
-  CASE label WHEN 0 THEN 'bus' WHEN 1 THEN 'car' ELSE 'train' END AS transport_mode, right_rows / support AS recall,
-  counts[label + 1] / support AS same FROM (SELECT *, md5(run_id[4:] || '|' || trial) AS h FROM docs)""")
+  CASE label WHEN 0 THEN 'bus' WHEN 1 THEN 'car' ELSE 'train' END AS transport_mode, coalesce(right_rows / nullif(support, 0), 0) AS recall
+FROM (SELECT *, md5(run_id[4:] || '|' || trial) AS h FROM docs)""")
 TRIAL_VIEWS = (v.PREDICTIONS, METRIC_DOCS, TRIALS)
 
 
 @query("metrics_scan_long", with_views("""
 SELECT run_id, trial_name, trial_hash, trial_index, CAST(label AS INT) AS class_index, transport_mode, round(recall, 6) AS recall, CAST(support AS DOUBLE) AS support,
-  round(counts[1] / support, 6) AS share_0, round(counts[2] / support, 6) AS share_1, round(counts[3] / support, 6) AS share_2 FROM trials""", *TRIAL_VIEWS))
+  round(coalesce(counts[1] / nullif(support, 0), 0), 6) AS share_0, round(coalesce(counts[2] / nullif(support, 0), 0), 6) AS share_1, round(coalesce(counts[3] / nullif(support, 0), 0), 6) AS share_2 FROM trials""", *TRIAL_VIEWS))
 def metrics_scan_long(spark, sf):
     rows = records.metric_classes(metric_documents(spark, sf))
     return rows.select("run_id", "trial_name", "trial_hash", "trial_index", "class_index", "transport_mode", F.round("recall", 6).alias("recall"),
