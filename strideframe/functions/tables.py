@@ -1,0 +1,18 @@
+"""Small tables as values."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+MOST_ENTRIES = 10_000
+
+
+def small_map(table: DataFrame, key: Column, value: Column, most: int = MOST_ENTRIES) -> Column:
+    """A table of few rows as one scalar map; more than `most` rows, or a repeated key, raise.
+
+    Rows look values up in place, so a dimension with few, hot keys (labels, modes, domains) costs no
+    shuffle of the rows, whatever the planner guesses about its size.
+    """
+    rows = table.select(key.alias("k"), value.alias("v")).where("k IS NOT NULL").limit(most + 1)
+    return rows.agg(F.when(F.count(F.lit(1)) <= most, F.map_from_entries(F.collect_list(F.struct("k", "v")))).otherwise(
+        F.raise_error(F.lit(f"more than {most} entries in a lookup table")))).scalar()

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strideframe.functions import scalars as sc
+from strideframe.functions.tables import small_map
 from strideframe.schema import EVENT_COLUMNS, SENSOR_COLUMNS
 
 
@@ -99,8 +100,10 @@ def normalize_documents(documents: DataFrame, labels: Mapping[str, int], domain:
 
 
 def label_lookup(rows: DataFrame, labels: DataFrame, column: str = "vehicle_type") -> DataFrame:
-    """Attach labels from a (transport_mode, label) table; rows of unknown modes go."""
-    return rows.join(labels.withColumnRenamed("transport_mode", column), column)
+    """Attach labels from a small (transport_mode, label) table; rows of unknown modes go."""
+    table = small_map(labels, F.col("transport_mode"), F.col("label"))
+    found = rows.withColumn("_labels", table).withColumn("label", F.try_element_at("_labels", F.col(column)))
+    return found.drop("_labels").where("label IS NOT NULL")
 
 
 def cohort_filter(sessions: DataFrame, country: str, quarantined: str, root: str = "raw") -> DataFrame:
