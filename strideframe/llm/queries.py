@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strideframe.llm import count_cache, id_files
+from strideframe.llm import chunk_bpe, count_cache, id_files
 from strideframe.llm.frames import table
 from strideframe.session import scratch_path
 
@@ -30,3 +30,9 @@ def op2_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_cache.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), scratch_path(spark, "counts"))
+
+
+@query
+def op1_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return chunk_bpe.decode(chunk_bpe.encode(table(spark, sf_dir, "documents"), tokenizer), tokenizer, digests=True)
