@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strideframe.llm import chunk_bpe, count_cache, id_files
+from strideframe.llm import chunk_bpe, count_cache, id_files, phrase_index
 from strideframe.llm.frames import table
 from strideframe.session import scratch_path
 
@@ -36,3 +37,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     return chunk_bpe.decode(chunk_bpe.encode(table(spark, sf_dir, "documents"), tokenizer), tokenizer, digests=True)
+
+
+@query
+def op9_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrase_index.find_phrases(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")

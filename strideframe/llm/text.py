@@ -49,7 +49,7 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return held[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose text is about `most` bytes, at least one row each."""
     for batch in batches:
         if not batch.num_rows:
@@ -96,7 +96,7 @@ class Words:
         data, offsets = flat(column)
         self.data = LOWER[data] if lower else data
         n = len(data)
-        inside = ~separators[data]
+        inside = ~separators[self.data]
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
         before = np.empty(n, bool)

@@ -10,6 +10,7 @@ hash and length.
 from __future__ import annotations
 
 import json
+import os
 import re
 from functools import lru_cache
 
@@ -29,7 +30,7 @@ _LETTER = np.isin(np.arange(256), [*range(0x41, 0x5B), *range(0x61, 0x7B)])
 _LATIN = np.isin(np.arange(256), [x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)])
 _PLAIN = (np.arange(256) < 0x80) & ~_LETTER & ~SPACE
 #: Units that a worker remembers (about 200 bytes each); when there are more, it starts anew.
-MEMORY = 1_000_000
+MEMORY = 400_000
 
 
 def _after_letters(data: np.ndarray) -> np.ndarray:
@@ -41,6 +42,7 @@ def _after_letters(data: np.ndarray) -> np.ndarray:
 
 class Codec:
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
