@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 KEY = ("doc_id", "h")
 #: The place of a document without an id: before all others.
 NO_ID = -(1 << 63)
+ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,7 +48,10 @@ def keep_rows(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_
 
 
 def in_batches(df: DataFrame, do: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """`mapInArrow`; a declared barrier of nothing, Python sees one partition at a time."""
+    """`mapInArrow`, with at most ROWS rows in an Arrow batch, because texts may be long: the session's setting is lowered to it."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, ROWS + 1):
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
     return df.mapInArrow(do, schema)
 
 

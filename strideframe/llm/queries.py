@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm import chunk_bpe, count_cache, id_files, phrase_index
+from strideframe.llm import chunk_bpe, count_cache, id_files, phrase_index, suffix_dedup
 from strideframe.llm.frames import table
 from strideframe.session import scratch_path
 
@@ -43,3 +43,8 @@ def op1_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = phrase_index.find_phrases(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
+@query
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("h")
