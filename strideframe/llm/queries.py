@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm import chunk_bpe, count_cache, id_files, phrase_index, suffix_dedup
+from strideframe.llm import chunk_bpe, count_cache, id_files, phrase_index, suffix_dedup, toxicity
 from strideframe.llm.frames import table
 from strideframe.session import scratch_path
 
@@ -48,3 +48,8 @@ def op9_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("h")
+
+
+@query
+def op4_toxicity_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("h", "evidence")
