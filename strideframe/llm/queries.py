@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm import chunk_bpe, count_cache, id_files, phrase_index, suffix_dedup, toxicity
+from strideframe.llm import chunk_bpe, count_cache, id_files, loglik, phrase_index, quality_knn, suffix_dedup, toxicity
 from strideframe.llm.frames import table
 from strideframe.session import scratch_path
 
@@ -53,3 +53,13 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_toxicity_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("h", "evidence")
+
+
+@query
+def op6_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_knn.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("h")
+
+
+@query
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return loglik.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("h")
