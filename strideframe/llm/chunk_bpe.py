@@ -170,7 +170,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
 
 def decode(encoded: DataFrame, tokenizer: str, digests: bool = False) -> DataFrame:
-    """doc_id, n_tokens and the decoded text; with `digests`, sha-256 of the decimal ids and of the decoded text instead."""
+    """doc_id, n_tokens, ids and the decoded text; with `digests`, sha-256 of the decimal ids and of the decoded text instead of the text."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer)
         for big in batches:
@@ -181,9 +181,9 @@ def decode(encoded: DataFrame, tokenizer: str, digests: bool = False) -> DataFra
                 offsets = np.concatenate([[0], np.cumsum([len(x) // c.width.itemsize for x in raw])])
                 texts = c.decode(ids, offsets)
                 if not digests:
-                    yield batch(doc_id=b.column("doc_id"), n_tokens=b.column("n_tokens"), text=pa.array(texts, pa.binary()).cast(pa.string()))
+                    yield batch(doc_id=b.column("doc_id"), n_tokens=b.column("n_tokens"), ids=b.column("ids"), text=pa.array(texts, pa.binary()).cast(pa.string()))
                     continue
                 said = decimals(ids, offsets, 1 << 8 * c.width.itemsize if c.width.itemsize == 2 else c.library.get_vocab_size())
-                yield batch(doc_id=b.column("doc_id"), n_tokens=b.column("n_tokens"), ids_sha256=[hashlib.sha256(x).hexdigest() for x in said], decoded_sha256=[hashlib.sha256(x).hexdigest() for x in texts])
+                yield batch(doc_id=b.column("doc_id"), n_tokens=b.column("n_tokens"), ids=b.column("ids"), ids_sha256=[hashlib.sha256(x).hexdigest() for x in said], decoded_sha256=[hashlib.sha256(x).hexdigest() for x in texts])
 
-    return in_batches(encoded, read, "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "text string"))
+    return in_batches(encoded, read, "doc_id long, n_tokens long, ids binary, " + ("ids_sha256 string, decoded_sha256 string" if digests else "text string"))

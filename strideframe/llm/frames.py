@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,3 +62,27 @@ def batch(**columns) -> pa.RecordBatch:
 
 def strings_as_binary(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary())
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, most: int = 1_000_000) -> Iterator[pa.Table]:
+    """Whole groups of a key, several at once up to about `most` bytes; the rows come ordered by it."""
+    held, size = [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        now = b.column(key).to_numpy()
+        cut = np.flatnonzero(np.diff(now) != 0) + 1
+        if held and held[-1].column(key)[-1].as_py() != now[0]:
+            cut = np.append([0], cut)
+        at, per_row = 0, b.nbytes / b.num_rows
+        for c in cut.tolist():
+            if size + (c - at) * per_row >= most or (c == 0 and size >= most):
+                if c > at:
+                    held.append(b.slice(at, c - at))
+                yield pa.Table.from_batches(held)
+                held, size, at = [], 0, c
+        if at < b.num_rows:
+            held.append(b.slice(at))
+            size += (b.num_rows - at) * per_row
+    if held:
+        yield pa.Table.from_batches(held)

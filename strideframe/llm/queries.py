@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm import chunk_bpe, count_cache, id_files, loglik, phrase_index, quality_knn, suffix_dedup, toxicity
+from strideframe.llm import chunk_bpe, count_cache, id_files, loglik, odd_sketch, phrase_index, quality_knn, suffix_dedup, toxicity
 from strideframe.llm.frames import table
 from strideframe.session import scratch_path
 
@@ -36,7 +36,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    return chunk_bpe.decode(chunk_bpe.encode(table(spark, sf_dir, "documents"), tokenizer), tokenizer, digests=True)
+    return chunk_bpe.decode(chunk_bpe.encode(table(spark, sf_dir, "documents"), tokenizer), tokenizer, digests=True).drop("ids")
 
 
 @query
@@ -63,3 +63,8 @@ def op6_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loglik.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("h")
+
+
+@query
+def op7_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return odd_sketch.near_duplicates(table(spark, sf_dir, "documents"), shingle=4).drop("h")

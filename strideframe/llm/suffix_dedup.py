@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.llm.frames import NO_ID, batch, beside, in_batches, keyed
+from strideframe.llm.frames import NO_ID, batch, beside, in_batches, keyed, whole_groups
 from strideframe.llm.text import SPACE, Words, inner, mix, pieces, runs, span_cover
 from strideframe.session import cut_lineage
 
@@ -173,7 +173,7 @@ def find_repeats(docs: DataFrame, length: int = 20, prefix: int = 10) -> DataFra
             yield batch(to=np.array([v & (1 << 64) - 1 for v in rows["to"]], np.uint64).view(np.int64), doc_id=pa.array(rows["doc_id"], pa.int64()), h=pa.array(rows["h"], pa.int64()), place=pa.array(rows["place"], pa.int32()), text=pa.array(rows["text"], pa.binary()))
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches):
+        for t in whole_groups(batches, "to"):
             place = t.column("place").to_numpy()
             ids, hs = t.column("doc_id").to_numpy(), t.column("h").to_numpy()
             texts = t.column("text").to_pylist()
@@ -201,30 +201,6 @@ def find_repeats(docs: DataFrame, length: int = 20, prefix: int = 10) -> DataFra
     return marked.groupBy("doc_id", "h").agg(F.collect_list("repeats").alias("repeats"))
 
 
-def _groups(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Iterator[pa.Table]:
-    """Whole groups of `to`, several at once up to `most` bytes of text; the rows come ordered by it."""
-    held, size = [], 0
-    for b in batches:
-        if not b.num_rows:
-            continue
-        to = b.column("to").to_numpy()
-        cut = np.flatnonzero(np.diff(to) != 0) + 1
-        if held and held[-1].column("to")[-1].as_py() != to[0]:
-            cut = np.append([0], cut)
-        at = 0
-        for c in [x for x in cut.tolist() if size + b.slice(at, x - at).nbytes >= most]:
-            if c > at:
-                held.append(b.slice(at, c - at))
-            if held:
-                yield pa.Table.from_batches(held)
-            held, size, at = [], 0, c
-        if at < b.num_rows:
-            held.append(b.slice(at))
-            size += held[-1].nbytes
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def remove_repeats(docs: DataFrame, length: int = 20, prefix: int = 10, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, h, n_words, n_removed, kept_sha256 (of the kept words joined by a blank) of every row; the kept text as well on demand.
 
