@@ -1,15 +1,65 @@
-"""The corpus pipeline: each stage works on all that the stage before it kept."""
+"""The corpus pipeline: each stage works on all that the stage before it kept.
+
+Every stage takes and returns the columns of `documents` (any further columns pass through); the last one returns
+token ids. Null and empty texts pass all stages; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strideframe.llm.frames import table
+from strideframe.llm import chunk_bpe, odd_sketch, phrase_index, suffix_dedup, toxicity
+from strideframe.llm.frames import keep_rows, table
 from strideframe.session import cut_lineage
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose score by the nearest labelled examples is under 0.7."""
+    judged = toxicity.score(docs, table(spark, sf_dir, "labels"))
+    return keep_rows(docs, judged.where("predicted = 1"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The least document of each group of near copies (five-word shingles, 0.8), a repeated row once."""
+    found = cut_lineage(odd_sketch.near_duplicates(docs, shingle=5))
+    kept = keep_rows(docs, found.where(~F.col("kept")))
+    repeated = found.where("kept and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    return kept.dropDuplicates(["doc_id", "text"]) if repeated.take(1) else kept
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words of passages that stand earlier too, the other words joined by a blank; untouched texts stay as they are."""
+    cut = suffix_dedup.remove_repeats(docs, with_text=True).where("n_removed > 0").dropDuplicates(["doc_id", "h"])
+    cut = cut.select(F.col("doc_id").alias("_doc_id"), F.col("h").alias("_h"), F.col("kept").alias("_kept"))
+    match = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.xxhash64(F.col("text")) == F.col("_h"))
+    changed = docs.join(cut, match, "left").withColumn("text", F.coalesce("_kept", "text"))
+    if "n_chars" in docs.columns:
+        changed = changed.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return changed.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without any window of a benchmark item."""
+    return keep_rows(docs, phrase_index.find_phrases(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each row, with digests of the ids and of the text decoded from them."""
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return chunk_bpe.decode(chunk_bpe.encode(docs, tokenizer), tokenizer, digests=True)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_copies),
+    ("repeated_passages", cut_repeats),
+    ("decontamination", drop_contaminated),
+    ("bpe", encode),
+]
 ORACLE_SQL = None
 
 
