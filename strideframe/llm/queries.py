@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm import chunk_bpe, count_cache, id_files, loglik, odd_sketch, phrase_index, quality_knn, suffix_dedup, toxicity
+from strideframe.llm import chunk_bpe, count_cache, id_files, license_align, loglik, odd_sketch, phrase_index, quality_knn, suffix_dedup, toxicity
 from strideframe.llm.frames import table
 from strideframe.session import scratch_path
 
@@ -68,3 +68,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd_sketch.near_duplicates(table(spark, sf_dir, "documents"), shingle=4).drop("h")
+
+
+@query
+def op5_license_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_align.summary(license_align.scan(table(spark, sf_dir, "documents")))
