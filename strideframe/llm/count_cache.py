@@ -49,6 +49,6 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, limit: int = 512,
         for b in pieces(batches):
             yield batch(digest=b.column("digest"), n_tokens=pa.array(c.counts(b.column("text")), pa.int64()))
 
-    in_batches(todo, count, "digest binary, n_tokens long").write.mode("append").parquet(str(folder))
+    in_batches(todo, count, "digest binary, n_tokens long").dropDuplicates(["digest"]).write.mode("append").parquet(str(folder))
     sized = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
     return sized.join(stored(), "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -29,11 +29,6 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("h"), F.coalesce(text, F.lit("")).alias("text"))
 
 
-def same_key(left: DataFrame, right: DataFrame) -> Column:
-    """Null-safe equality of the two keys."""
-    return (left["doc_id"].eqNullSafe(right["doc_id"])) & (left["h"] == right["h"])
-
-
 def beside(docs: DataFrame, extra: DataFrame, how: str = "left") -> DataFrame:
     """Columns of `docs`, and those of `extra` that are no key; `extra` has one row for each key at most."""
     extra = extra.select(*[F.col(c).alias(f"_{c}" if c in KEY else c) for c in extra.columns])
@@ -43,9 +38,12 @@ def beside(docs: DataFrame, extra: DataFrame, how: str = "left") -> DataFrame:
 
 def keep_rows(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of the rows of `docs` whose key is not in `dropped`."""
-    dropped = dropped.select(F.col("doc_id").alias("_doc_id"), F.col("h").alias("_h"))
-    match = F.col(f"`{id_col}`").eqNullSafe(F.col("_doc_id")) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col("_h"))
-    return docs.join(dropped, match, "left_anti")
+    return docs.alias("a").join(dropped.select("doc_id", "h").alias("b"), of_row(id_col, text_col), "left_anti")
+
+
+def of_row(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """Equality of a row of documents, aliased a, and a key, aliased b."""
+    return F.expr(f"a.`{id_col}` <=> b.doc_id and xxhash64(cast(a.`{text_col}` as string)) = b.h")
 
 
 def in_batches(df: DataFrame, do: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

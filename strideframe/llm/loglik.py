@@ -42,7 +42,7 @@ def rule_counts(column: pa.Array, w: Words, window: int = 5) -> dict[str, np.nda
     own = chars[w.end] - chars[w.start]
     # Lines: between line feeds and the borders of texts.
     feed = np.flatnonzero(data == 0x0A)
-    start = np.sort(np.concatenate([offsets[:-1], feed + 1]))
+    start = np.unique(np.concatenate([offsets[:-1], feed + 1]))
     line_of = np.searchsorted(offsets[1:], start, "right")
     good = line_of < len(column)
     start, line_of = start[good], line_of[good]

@@ -68,7 +68,7 @@ def _usable(term: np.ndarray, of: np.ndarray, phrases: Phrases, n: int, slop: in
     edge = np.flatnonzero(np.diff(run, prepend=run[0] - 1) != 0)
     size = np.diff(edge, append=len(term))
     length = np.repeat(size, size)
-    short = np.zeros(len(phrases.vocabulary), bool)
+    short = np.zeros(len(phrases.vocabulary) + 1, bool)  # the last is for no term
     small = phrases.terms[phrases.size < n]
     short[small[small >= 0]] = True
     return known & ((length >= n) | short[term])
