@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strideframe.llm import chunk_bpe, odd_sketch, phrase_index, suffix_dedup, toxicity
-from strideframe.llm.frames import keep_rows, table
+from strideframe.llm.frames import keep_rows, of_row, table
 from strideframe.session import cut_lineage
 
 
@@ -34,12 +34,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of passages that stand earlier too, the other words joined by a blank; untouched texts stay as they are."""
     cut = suffix_dedup.remove_repeats(docs, with_text=True).where("n_removed > 0").dropDuplicates(["doc_id", "h"])
-    cut = cut.select(F.col("doc_id").alias("_doc_id"), F.col("h").alias("_h"), F.col("kept").alias("_kept"))
-    match = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.xxhash64(F.col("text")) == F.col("_h"))
-    changed = docs.join(cut, match, "left").withColumn("text", F.coalesce("_kept", "text"))
+    joined = docs.alias("a").join(cut.alias("b"), of_row(), "left")
+    new = {"text": F.coalesce("b.kept", "a.text")}
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return changed.select(*[F.col(f"`{c}`") for c in docs.columns])
+        own = docs.schema["n_chars"].dataType
+        new["n_chars"] = F.when(F.col("b.kept").isNull(), F.col("a.n_chars")).otherwise(F.length("b.kept").cast(own))
+    return joined.select(*[new.get(c, F.col(f"a.`{c}`")).alias(c) for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
