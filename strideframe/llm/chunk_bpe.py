@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.llm.frames import batch, beside, in_batches, keyed
+from strideframe.llm.frames import batch, beside, in_batches, keyed, packed
 from strideframe.llm.text import _OF_BYTE, flat, pieces, runs
 from strideframe.llm.tokens import codec, decimals
 from strideframe.session import cut_lineage
@@ -126,6 +126,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     words don't stand for themselves, and texts with the string of an added token, are encoded as a whole.
     """
     rows = keyed(docs, id_col, text_col)
+    moved = packed(rows)
     found = cut_lineage(in_batches(rows, _chunks, f"doc_id long, h long, {CHUNK}"))
     place = F.struct("doc_id", "h", "start", "end")
     shared = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("owner")).where("n > 1")
@@ -144,7 +145,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
             raw, at = ids.tobytes(), at * c.width.itemsize
             yield batch(digest=pa.array(digests, pa.binary()), ids=pa.array([raw[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary()))
 
-    cores = in_batches(beside(rows, own, "inner"), first, "digest binary, ids binary").groupBy("digest").agg(F.first("ids").alias("ids"))
+    cores = in_batches(beside(moved, own, "inner"), first, "digest binary, ids binary").groupBy("digest").agg(F.first("ids").alias("ids"))
     parts = found.join(cores, "digest").groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "end", "ids")).alias("parts"))
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +167,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 ids[i] = x.tobytes()
             yield batch(doc_id=b.column("doc_id"), h=b.column("h"), n_tokens=pa.array([len(x) // size for x in ids], pa.int64()), ids=pa.array(ids, pa.binary()))
 
-    return in_batches(beside(rows, parts), rest, "doc_id long, h long, n_tokens long, ids binary")
+    return in_batches(beside(moved, parts), rest, "doc_id long, h long, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, tokenizer: str, digests: bool = False) -> DataFrame:

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +55,16 @@ def in_batches(df: DataFrame, do: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(do, schema)
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """`keyed` rows with their text compressed, for a shuffle; `pieces` unpacks it."""
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        close = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            yield batch(doc_id=b.column("doc_id"), h=b.column("h"), zip=pa.array([close(x) for x in b.column("text").cast(pa.binary()).to_pylist()], pa.binary()))
+
+    return in_batches(rows, shrink, "doc_id long, h long, zip binary")
+
+
 def batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()})
 

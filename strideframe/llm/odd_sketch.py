@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideframe.llm.components import components
-from strideframe.llm.frames import batch, beside, in_batches, keyed, whole_groups
+from strideframe.llm.frames import batch, beside, in_batches, keyed, packed, whole_groups
 from strideframe.llm.text import SPACE, Words, mix, pieces, runs
 from strideframe.session import cut_lineage
 
@@ -208,11 +208,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
     # 3. Exact links within them.
     members = _in_blocks(coarse, ["component"]).select("node.doc_id", "node.h", "g").groupBy("doc_id", "h").agg(F.collect_list("g").alias("gs"))
-    texts = beside(rows, members, "inner").dropDuplicates(["doc_id", "h"]).select("doc_id", "h", "text", F.explode("gs").alias("g"))
+    texts = beside(packed(rows), members, "inner").select("doc_id", "h", "zip", F.explode("gs").alias("g"))
     texts = texts.repartition("g").sortWithinPartitions("g", "doc_id", "h")
 
     def by_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _edges(batches, lambda t: linked_by_sets(*shingle_sets(t.column("text").combine_chunks(), shingle), percent))
+        def label(t: pa.Table) -> np.ndarray:
+            sets = [shingle_sets(b.column("text"), shingle) for b in pieces(t.to_batches())]
+            return linked_by_sets(np.concatenate([v for v, _ in sets]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(o) for _, o in sets]))]), percent)
+
+        return _edges(batches, label)
 
     groups = components(_as_nodes(in_batches(texts, by_sets, _EDGE)))
     named = classes.select("n", "s1", "s2", F.col("node").alias("_node")).join(groups, F.col("_node") == F.col("node"), "left").select("n", "s1", "s2", F.coalesce("component", "_node").alias("c"))

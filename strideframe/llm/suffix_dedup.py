@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.llm.frames import NO_ID, batch, beside, in_batches, keyed, whole_groups
+from strideframe.llm.frames import NO_ID, batch, beside, in_batches, keyed, packed, whole_groups
 from strideframe.llm.text import SPACE, Words, inner, mix, pieces, runs, span_cover
 from strideframe.session import cut_lineage
 
@@ -89,10 +89,10 @@ def _packed(values: np.ndarray) -> bytes:
     return values.astype("<i4").tobytes()
 
 
-def find_repeats(docs: DataFrame, length: int = 20, prefix: int = 10) -> DataFrame:
+def find_repeats(docs: DataFrame, moved: DataFrame, length: int = 20, prefix: int = 10) -> DataFrame:
     """doc_id, h, repeats: the first words (packed int32) of all windows of a document that also start earlier.
 
-    `docs` has the columns of `keyed`. Earlier is a smaller doc_id (null first), then a smaller h, then an earlier
+    `docs` has the columns of `keyed`, `moved` is the same `packed`. Earlier is a smaller doc_id (null first), then a smaller h, then an earlier
     word. Equal rows are one document.
     """
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +195,7 @@ def find_repeats(docs: DataFrame, length: int = 20, prefix: int = 10) -> DataFra
             packed = [_packed(x) for x in np.split(start, edge[1:])][: len(edge)] + [texts[i] for i in kept.tolist()]
             yield batch(doc_id=ids[who], h=hs[who], repeats=pa.array(packed, pa.binary()))
 
-    to_group = in_batches(beside(docs, by_doc, "inner"), stretches, "to long, doc_id long, h long, place int, text binary")
+    to_group = in_batches(beside(moved, by_doc, "inner"), stretches, "to long, doc_id long, h long, place int, text binary")
     marked = in_batches(to_group.repartition("to").sortWithinPartitions("to"), nodes, "doc_id long, h long, repeats binary")
     marked = marked.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
     return marked.groupBy("doc_id", "h").agg(F.collect_list("repeats").alias("repeats"))
@@ -208,6 +208,7 @@ def remove_repeats(docs: DataFrame, length: int = 20, prefix: int = 10, with_tex
     if any window over it also starts earlier; windows are those of the input. Repeated rows are all returned.
     """
     rows = keyed(docs, id_col, text_col)
+    moved = packed(rows)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
@@ -226,4 +227,4 @@ def remove_repeats(docs: DataFrame, length: int = 20, prefix: int = 10, with_tex
             yield batch(**out, **({"kept": pa.array(kept, pa.binary()).cast(pa.string())} if with_text else {}))
 
     schema = "doc_id long, h long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else "")
-    return in_batches(beside(rows, find_repeats(rows, length, prefix)), cut, schema)
+    return in_batches(beside(moved, find_repeats(rows, moved, length, prefix)), cut, schema)

@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 #: Separators of the two word rules: ASCII white space; all ASCII but letters and digits.
 SPACE = np.zeros(256, bool)
@@ -50,10 +51,13 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches whose text is about `most` bytes, at least one row each."""
+    """The same rows in batches whose text is about `most` bytes, at least one row each. A column `zip` is unpacked to `text`."""
     for batch in batches:
         if not batch.num_rows:
             continue
+        if column not in batch.schema.names:
+            yield from _unpacked(batch, column, most)
+            continue
         _, offsets = flat(batch.column(column))
         at = 0
         while at < batch.num_rows:
@@ -62,6 +66,17 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             at = end
 
 
+def _unpacked(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    open_, texts, size, at = zstandard.ZstdDecompressor().decompress, [], 0, 0
+    for i, x in enumerate(batch.column("zip").to_pylist()):
+        texts.append(open_(x))
+        size += len(texts[-1])
+        if size >= most or i == batch.num_rows - 1:
+            part = batch.slice(at, i + 1 - at)
+            yield part.drop_columns(["zip"]).append_column(column, pa.array(texts, pa.binary()).cast(pa.string()))
+            texts, size, at = [], 0, i + 1
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each span; the spans are in order and don't overlap."""
     out = np.empty(len(start), np.uint64)

@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ _MARK_FIRST = np.isin(np.arange(256), [0xCC, 0xCD])
 _LETTER = np.isin(np.arange(256), [*range(0x41, 0x5B), *range(0x61, 0x7B)])
 _LATIN = np.isin(np.arange(256), [x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)])
 _PLAIN = (np.arange(256) < 0x80) & ~_LETTER & ~SPACE
-#: Units that a worker remembers (about 200 bytes each); when there are more, it starts anew.
+#: Units that a worker remembers (about 200 bytes each); when there are more, it starts anew, with these in reserve.
 MEMORY = 400_000
 
 
@@ -58,6 +58,7 @@ class Codec:
         size = self.library.get_vocab_size()
         self.width = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _units(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Data, starts and ends of units, first unit of each text."""
@@ -109,8 +110,12 @@ class Codec:
         units = [raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist())]
         fresh = [u for u in units if u not in memo]
         if len(memo) + len(fresh) > MEMORY:
-            memo.clear()
-            fresh = units
+            self.older, self.memo = memo, {}
+            memo, fresh = self.memo, units
+        if self.older:
+            older = self.older
+            memo.update((u, older[u]) for u in fresh if u in older)
+            fresh = [u for u in fresh if u not in memo]
         for k in range(0, len(fresh), 20_000):
             part = fresh[k : k + 20_000]
             for unit, e in zip(part, self.library.encode_batch_fast([u.decode() for u in part], add_special_tokens=False)):
@@ -145,37 +150,52 @@ class Codec:
         np.cumsum(np.diff(by_unit)[of], out=sums[1:])
         return np.diff(sums[first])
 
-    @lru_cache(1)
-    def token_table(self) -> tuple[np.ndarray, np.ndarray]:
-        """UTF-8 of each id's token with a blank after it, and offsets; ids without a token have none."""
+    @cached_property
+    def token_table(self) -> tuple[bytes, ...]:
+        """UTF-8 of each id's token with a blank after it; ids without a token have none."""
         tokens = [self.library.id_to_token(i) for i in range(self.library.get_vocab_size())]
-        held = [b"" if t is None else t.encode() + b" " for t in tokens]
-        return np.frombuffer(b"".join(held), np.uint8), np.concatenate([[0], np.cumsum([len(h) for h in held])])
+        return tuple(b"" if t is None else t.encode() + b" " for t in tokens)
+
+    @cached_property
+    def joins(self) -> bool:
+        """Whether the library decodes by joining tokens with a blank, as it does without a decoder."""
+        return json.loads(self.library.to_str())["decoder"] is None and not any(b"\0" in t for t in self.token_table)
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """UTF-8 of the text of each list of ids, special tokens included."""
-        if json.loads(self.library.to_str())["decoder"] is not None:
+        if not self.joins:
             return [self.library.decode(ids[a:b].tolist(), skip_special_tokens=False).encode() for a, b in zip(offsets[:-1], offsets[1:])]
-        table, by_token = self.token_table()  # without a decoder the library joins tokens with a blank
-        return joined(table, by_token, ids, offsets)
+        return joined(self.token_table, ids, offsets)
 
 
-def joined(table: np.ndarray, by_id: np.ndarray, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+def joined(table: tuple[bytes, ...], ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     """For each list of ids their entries, each of which ends with a blank, without the last blank."""
-    out, ends = gather(table, by_id, ids)
-    raw, at = out.tobytes(), ends[offsets]
-    return [raw[a : b - 1] if b > a else b"" for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+    cells, lengths, wide = _cells(table)
+    ends = np.zeros(len(ids) + 1, np.int64)
+    np.cumsum(lengths[ids], out=ends[1:])
+    raw, at = cells[ids].tobytes().translate(None, b"\0"), ends[offsets]
+    out = [raw[a : b - 1] if b > a else b"" for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+    for i in np.unique(np.searchsorted(offsets, np.flatnonzero(wide[ids]), "right") - 1).tolist():
+        out[i] = b"".join([table[k] for k in ids[offsets[i] : offsets[i + 1]]])[:-1]
+    return out
+
+
+@lru_cache(4)
+def _cells(table: tuple[bytes, ...], most: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries up to `most` bytes in cells of equal width, filled up with zero bytes; their lengths; which entries are longer."""
+    wide = np.array([len(x) > most for x in table])
+    cells = np.array([b"" if w else x for x, w in zip(table, wide)], np.bytes_)
+    return cells, np.array([0 if w else len(x) for x, w in zip(table, wide)], np.int64), wide
 
 
 @lru_cache(2)
-def decimal_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    held = [b"%d " % i for i in range(n)]
-    return np.frombuffer(b"".join(held), np.uint8), np.concatenate([[0], np.cumsum([len(h) for h in held])])
+def decimal_table(n: int) -> tuple[bytes, ...]:
+    return tuple(b"%d " % i for i in range(n))
 
 
 def decimals(ids: np.ndarray, offsets: np.ndarray, size: int) -> list[bytes]:
     """Each list of ids in decimal, joined by blanks."""
-    return joined(*decimal_table(size), ids, offsets)
+    return joined(decimal_table(size), ids, offsets)
 
 
 @lru_cache(4)
