@@ -8,6 +8,10 @@ per block is scanned per group. Results equal the plain window function exactly.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from strideframe.session import cut_lineage
@@ -18,11 +22,18 @@ def _order(order: list) -> list[Column]:
 
 
 def _with_carry(df: DataFrame, keys: list[str], block: str, summary: Column, carry) -> DataFrame:
-    """Attach `carry` (built over earlier blocks of the group) to every row."""
+    """Attach `carry` (built over earlier blocks of the group) to every row; a NULL key is a group of its own."""
     blocks = df.groupBy(*keys, block).agg(summary.alias("_s"))
     earlier = W.partitionBy(*keys).orderBy(block).rowsBetween(W.unboundedPreceding, -1)
     carried = blocks.select(*keys, block, carry(earlier).alias("_carry"))
-    return df.join(carried, [*keys, block])
+    return join_null_safe(df, carried, [*keys, block])
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join by equal names where NULL equals NULL; the keys come from the left."""
+    named = right.select(*[F.col(f"`{c}`").alias(f"_r_{c}" if c in keys else c) for c in right.columns])
+    match = reduce(and_, [F.col(f"`{k}`").eqNullSafe(F.col(f"`_r_{k}`")) for k in keys])
+    return left.join(named, match, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def ranked(df: DataFrame, keys: list[str], block: str, order: list, name: str = "rank") -> DataFrame:

@@ -10,7 +10,7 @@ from strideframe.config import FeatureConfig
 from strideframe.functions.digests import membership_digest
 from strideframe.operators.normalize import event_layout
 from strideframe.operators.windows import duration_filter
-from strideframe.sinks import append_unseen, atomic_write, content_keyed_write
+from strideframe.sinks import append_unseen, atomic_write, content_keyed_write, read_appended
 from strideframe.sources.registry import SourceConfig, read_source
 from strideframe.streaming.incremental import incremental_features
 
@@ -29,7 +29,7 @@ def ingest_sessions(spark: SparkSession, name: str, config: SourceConfig, labels
     if members is not None:
         events = events.join(members.select("session_id").distinct(), "session_id", "left_semi")
     append_unseen(event_layout(events), target)
-    return spark.read.parquet(target)
+    return read_appended(spark, target)
 
 
 def missing_members(events: DataFrame, members: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def missing_members(events: DataFrame, members: DataFrame) -> DataFrame:
 def build_features(events: DataFrame, config: FeatureConfig, target: str, order: str | None = None) -> DataFrame:
     """Features of sessions not featured yet, appended."""
     incremental_features(events, config, target, order)
-    return events.sparkSession.read.parquet(target)
+    return read_appended(events.sparkSession, target)
 
 
 def keyed_features(features: DataFrame, events: DataFrame, rule: str, columns: Sequence[str], root: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
@@ -35,15 +36,22 @@ def atomic_write(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     """
     spark = df.sparkSession
     if is_complete(spark, path):
+        if not is_complete(spark, f"{path}/_manifest"):  # the writer died between the two
+            found = spark.read.parquet(path)
+            _write_manifest(spark, path, found.count(), found.schema.json())
         return None
     seen = Observation()
     partitioned(df.observe(seen, F.count(F.lit(1)).alias("rows")), partition_by).mode("overwrite").parquet(path)
     rows = int(seen.get["rows"])
-    spark.range(1).select(F.lit(rows).cast("bigint").alias("rows"), F.lit(df.schema.json()).alias("schema")).write.mode(
-        "overwrite").json(f"{path}/_manifest")
+    _write_manifest(spark, path, rows, df.schema.json())
     return rows
 
 
+def _write_manifest(spark: SparkSession, path: str, rows: int, schema: str) -> None:
+    spark.range(1).select(F.lit(rows).cast("bigint").alias("rows"), F.lit(schema).alias("schema")).write.mode(
+        "overwrite").json(f"{path}/_manifest")
+
+
 def content_key(df: DataFrame, rule: str, columns: Sequence[str]) -> str:
     """Key of a rule applied to a table: changes with the rule, any value, type or duplicate."""
     digest = content_digest(df, list(columns)).first()["digest"]
@@ -57,16 +65,39 @@ def content_keyed_write(result: DataFrame, source: DataFrame, rule: str, columns
     return path
 
 
+def _published(spark: SparkSession, path: str) -> list[str]:
+    system, folder = _file_system(spark, f"{path}/_published")
+    return sorted(f.getPath().getName() for f in system.listStatus(folder)) if system.exists(folder) else []
+
+
+def read_appended(spark: SparkSession, path: str) -> DataFrame | None:
+    """Rows of all published batches of an appended table; None before the first."""
+    batches = _published(spark, path)
+    return spark.read.parquet(*[f"{path}/rows-{b}" for b in batches]) if batches else None
+
+
+def recorded_keys(spark: SparkSession, path: str) -> DataFrame | None:
+    """Keys of the published batches, one row each."""
+    batches = _published(spark, path)
+    return spark.read.parquet(*[f"{path}/keys-{b}" for b in batches]) if batches else None
+
+
 def append_unseen(new: DataFrame, path: str, key: str = "session_id") -> None:
-    """Append rows of keys the target does not hold yet; the target itself is the ledger.
+    """Append rows of keys the target does not hold yet, all or none of them.
 
-    Rows of a recorded key that arrive later are ignored.
+    A batch and the list of its keys are written to folders of their own and then published by one marker file;
+    readers (`read_appended`) see published batches only, so what a crash leaves behind is never read. Rows of a
+    recorded key that arrive later are ignored.
     """
     spark = new.sparkSession
-    if is_complete(spark, path):
-        seen = spark.read.parquet(path).select(key).distinct()
-        new = new.join(seen, key, "left_anti")
-    new.write.mode("append").parquet(path)
+    seen = recorded_keys(spark, path)
+    if seen is not None:
+        new = new.join(seen, new[key].eqNullSafe(seen[key]), "left_anti")
+    batch = uuid.uuid4().hex
+    new.write.parquet(f"{path}/rows-{batch}")
+    spark.read.schema(new.schema).parquet(f"{path}/rows-{batch}").select(key).distinct().write.parquet(f"{path}/keys-{batch}")
+    system, marker = _file_system(spark, f"{path}/_published/{batch}")
+    system.create(marker, False).close()
 
 
 def write_delimited(df: DataFrame, path: str) -> None:

@@ -1,6 +1,6 @@
 """Incremental ingest and features, session by session.
 
-A session is complete when it arrives, so the target table is all the state that is needed.
+A session is complete when it arrives, so the target's list of recorded sessions is all the state that is needed.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from strideframe.config import FeatureConfig
 from strideframe.operators.features import feature_frame
-from strideframe.sinks import append_unseen, is_complete
+from strideframe.sinks import append_unseen, recorded_keys
 
 
 def ingest_stream(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str,
@@ -20,7 +20,8 @@ def ingest_stream(spark: SparkSession, source: str, schema: StructType, target:
                   key: str = "session_id") -> None:
     """Drain the files that arrived since the last run into the target, then stop.
 
-    A batch repeated after a failure appends nothing, because its sessions are already recorded.
+    Rows are read with `sinks.read_appended`. A batch repeated after a failure appends what was not published,
+    and nothing if its sessions are already recorded.
     """
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).format(source_format).load(source)
 
@@ -34,10 +35,8 @@ def ingest_stream(spark: SparkSession, source: str, schema: StructType, target:
 
 def pending(events: DataFrame, target: str, key: str = "session_id") -> DataFrame:
     """Events of sessions the feature table does not hold."""
-    spark = events.sparkSession
-    if not is_complete(spark, target):
-        return events
-    return events.join(spark.read.parquet(target).select(key).distinct(), key, "left_anti")
+    seen = recorded_keys(events.sparkSession, target)
+    return events if seen is None else events.join(seen, events[key].eqNullSafe(seen[key]), "left_anti")
 
 
 def incremental_features(events: DataFrame, config: FeatureConfig, target: str, order: str | None = "seq") -> None:

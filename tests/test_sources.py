@@ -45,6 +45,51 @@ def test_row_logs_need_their_columns(spark, tmp_path):
         files.read_row_logs(spark, str(tmp_path))
 
 
+def test_row_logs_are_read_by_name(spark, tmp_path):
+    line = ROW.format(kind="android.sensor.accelerometer", os="ANDROID").split(",")
+    for name, order in (("a", range(len(line))), ("b", range(len(line) - 1, -1, -1))):
+        (tmp_path / f"{name}.csv").write_text("\n".join(",".join(x[i] for i in order) for x in (ROW_LOG_COLUMNS, line)) + "\n")
+    found = files.read_row_logs(spark, str(tmp_path))
+    assert values(found, *ROW_LOG_COLUMNS) == [tuple(line)] * 2
+    (tmp_path / "c.csv").write_text(",".join(c for c in ROW_LOG_COLUMNS if c != "OS") + "\n")
+    with pytest.raises(ValueError, match="c.csv is missing columns: OS"):
+        files.read_row_logs(spark, str(tmp_path))
+
+
+def test_tagged_values_are_kept_at_any_depth(spark):
+    item = {"m": {"M": {"s": {"SS": ["a", "b"]}, "deep": {"M": {"n": {"N": "1.5"}, "l": {"L": [{"S": "x"}, {"M": {"k": {"BOOL": True}}}]}}}}},
+            "l": {"L": [{"N": "1"}, {"L": [{"S": "y"}]}, {"NULL": True}]}}
+    df = spark.createDataFrame([(1, json.dumps(item))], "id long, d string")
+    found = {r.attribute: (r.kind, r.text, r.whole, r.real, r.flag, r["items"]) for r in records.decode_tagged(df, "d", ["id"]).collect()}
+    assert found == {
+        "m.s": ("SS", None, None, None, None, ["a", "b"]), "m.deep.n": ("N", None, None, 1.5, None, None),
+        "m.deep.l": ("L", None, None, None, None, ["x", None]), "m.deep.l.1.k": ("BOOL", None, None, None, True, None),
+        "l": ("L", None, None, None, None, ["1", None, None]), "l.1": ("L", None, None, None, None, ["y"])}
+    for bad in ({"m": {"M": {"x": {"Q": "1"}}}}, {"m": {"M": {"m": {"M": {"m": {"M": {"m": {"S": "1"}}}}}}}}):
+        with pytest.raises(Exception, match="unsupported tag|more than 2 levels"):
+            records.decode_tagged(spark.createDataFrame([(1, json.dumps(bad))], "id long, d string"), "d", ["id"], depth=2).collect()
+
+
+def test_appends_are_all_or_nothing(spark, tmp_path):
+    from strideframe import sinks
+    path, rows = str(tmp_path / "t"), spark.createDataFrame([("s1", 1), ("s1", 2), (None, 3)], "session_id string, x int")
+    assert sinks.read_appended(spark, path) is None
+    rows.limit(1).write.parquet(f"{path}/rows-half")  # a batch that was never published
+    for _ in range(2):
+        sinks.append_unseen(rows, path)
+    assert sorted(r.x for r in sinks.read_appended(spark, path).collect()) == [1, 2, 3]
+    sinks.append_unseen(spark.createDataFrame([("s1", 9), ("s2", 4)], "session_id string, x int"), path)
+    assert sorted(r.x for r in sinks.read_appended(spark, path).collect()) == [1, 2, 3, 4]
+
+
+def test_manifest_is_completed(spark, tmp_path):
+    from strideframe import sinks
+    path = str(tmp_path / "t")
+    spark.range(5).write.parquet(path)
+    assert sinks.atomic_write(spark.range(7), path) is None
+    assert spark.read.json(f"{path}/_manifest").first().rows == 5
+
+
 def document(tmp_path, name, body, sidecar=None, zipped=False):
     text = json.dumps(body)
     if zipped:

@@ -143,3 +143,16 @@ def test_content_digest_ignores_order_only(spark):
     assert digest(df) != digest(df.withColumn("label", F.col("label") + 1))
     assert digest(df) != digest(df.withColumn("label", F.col("label").cast("bigint")))
     assert digest(df) != digest(df.unionByName(df.limit(1)))
+
+
+def test_weights_keep_rows_without_participant(spark):
+    from strideframe.operators.weights import hierarchical_weights
+    rows = spark.createDataFrame([("d", 0, None, "s1"), ("d", 0, "p", "s2"), ("d", 1, "p", None)], "domain string, label int, participant_id string, session_id string")
+    found = [r.weight for r in hierarchical_weights(rows).collect()]
+    assert len(found) == 3 and abs(sum(found) - 3) < 1e-9
+
+
+def test_ranks_keep_null_keys(spark):
+    from strideframe.operators.ordered import ranked
+    rows = spark.createDataFrame([(None, 0, 5), (None, 1, 7), ("a", 0, 1)], "k string, b int, v int")
+    assert sorted((r.k or "", r.v, r["rank"]) for r in ranked(rows, ["k"], "b", ["v"]).collect()) == [("", 5, 1), ("", 7, 2), ("a", 1, 1)]

@@ -178,9 +178,12 @@ def normalize_row_source(spark, sf):
 @query("scan_header_csv", with_views("""
 SELECT vehicle_type, sensor_count, rows FROM (SELECT vehicle_type, count(*) AS rows, count(DISTINCT sensor) AS sensor_count FROM events_b GROUP BY vehicle_type)""", EVENTS_B))
 def scan_header_csv(spark, sf):
-    """The row logs written with a header and an unneeded column, scanned and normalized by name."""
+    """The row logs written with a header and an unneeded column, in two column orders, scanned and normalized by name."""
     path = scratch_path(spark, "rows")
-    raw_row_logs(spark, sf).write.option("header", True).csv(path)
+    rows = raw_row_logs(spark, sf)
+    half = F.pmod(F.xxhash64(*rows.columns), F.lit(2))
+    for part, columns in enumerate((rows.columns, rows.columns[::-1])):
+        rows.where(half == part).select(*columns).write.option("header", True).csv(f"{path}/{part}")
     events = read_source(spark, "row_logs", SourceConfig(path), L)
     kind = F.when(F.col("p").isNotNull(), "p").when(F.col("gx").isNotNull(), "g").otherwise("a")
     return events.groupBy("vehicle_type").agg(F.count_distinct(kind).alias("sensor_count"), F.count("*").alias("rows"))
@@ -476,7 +479,11 @@ SELECT o_orderkey AS item, * FROM (SELECT o_orderkey, unnest([
   {'attribute': 'none', 'kind': 'NULL', 'text': NULL, 'whole': NULL, 'real': NULL, 'flag': NULL, 'items': NULL},
   {'attribute': 'list', 'kind': 'L', 'text': NULL, 'whole': NULL, 'real': NULL, 'flag': NULL, 'items': 'x/' || o_custkey},
   {'attribute': 'numbers', 'kind': 'NS', 'text': NULL, 'whole': NULL, 'real': NULL, 'flag': NULL, 'items': o_custkey || '/7'},
-  {'attribute': 'map.status', 'kind': 'S', 'text': o_orderstatus, 'whole': NULL, 'real': NULL, 'flag': NULL, 'items': NULL}], recursive := true) FROM orders)
+  {'attribute': 'map.status', 'kind': 'S', 'text': o_orderstatus, 'whole': NULL, 'real': NULL, 'flag': NULL, 'items': NULL},
+  {'attribute': 'map.deep.key', 'kind': 'N', 'text': NULL, 'whole': o_orderkey, 'real': NULL, 'flag': NULL, 'items': NULL},
+  {'attribute': 'map.set', 'kind': 'SS', 'text': NULL, 'whole': NULL, 'real': NULL, 'flag': NULL, 'items': 'p/q'},
+  {'attribute': 'mixed', 'kind': 'L', 'text': NULL, 'whole': NULL, 'real': NULL, 'flag': NULL, 'items': 'z'},
+  {'attribute': 'mixed.1.half', 'kind': 'N', 'text': NULL, 'whole': NULL, 'real': 0.5, 'flag': NULL, 'items': NULL}], recursive := true) FROM orders)
 """.replace("SELECT o_orderkey AS item, * FROM", "SELECT o_orderkey AS item, * EXCLUDE (o_orderkey) FROM"))
 def decode_tagged(spark, sf):
     cust = F.col("o_custkey").cast("string")
@@ -485,7 +492,9 @@ def decode_tagged(spark, sf):
         F.lit('{"priority":'), one("S", F.col("o_orderpriority")), F.lit(',"customer":'), one("N", cust), F.lit(',"price":'),
         one("N", F.format_string("%.2f", "o_totalprice")), F.lit(',"open":{"BOOL":'), (F.col("o_orderstatus") == "O").cast("string"),
         F.lit('},"none":{"NULL":true},"list":{"L":[{"S":"x"},'), one("N", cust), F.lit(']},"numbers":{"NS":["'), cust,
-        F.lit('","7"]},"map":{"M":{"status":'), one("S", F.col("o_orderstatus")), F.lit("}}}"))
+        F.lit('","7"]},"map":{"M":{"status":'), one("S", F.col("o_orderstatus")),
+        F.lit(',"deep":{"M":{"key":'), one("N", F.col("o_orderkey").cast("string")),
+        F.lit('}},"set":{"SS":["p","q"]}}},"mixed":{"L":[{"S":"z"},{"M":{"half":{"N":"0.5"}}}]}}'))
     rows = v.table(spark, sf, "orders").select(F.col("o_orderkey").alias("item"), item.alias("document"))
     return records.decode_tagged(rows, "document", ["item"]).withColumn("items", F.array_join("items", "/"))
 
@@ -541,15 +550,16 @@ def prediction_sink(spark, sf):
 @query("incremental_append", with_views("""
 SELECT session_id, count(*) AS rows, max(seq) AS last_seq FROM sensor_events WHERE label <> 0 OR seq % 2 = 0 GROUP BY session_id""", v.SENSOR_EVENTS))
 def incremental_append(spark, sf):
-    """Two arrivals drained by a file stream: the late half of recorded sessions is ignored."""
+    """Two arrivals drained by a file stream: the late half of recorded sessions is ignored, as is what a crash left."""
     e = v.sensor_events(spark, sf)
     source, target, state = [scratch_path(spark, n) for n in ("arrivals", "events", "progress")]
     early = (F.col("label") == 0) & (F.col("seq") % 2 == 0)
+    e.write.parquet(f"{target}/rows-never-published")
     for name, part in (("first", e.where(early)), ("second", e.where(~early))):
         part.write.parquet(f"{source}/{name}")
         inc.ingest_stream(spark, source, e.schema, target, state)
     inc.ingest_stream(spark, source, e.schema, target, state)
-    return spark.read.parquet(target).groupBy("session_id").agg(F.count("*").alias("rows"), F.max("seq").alias("last_seq"))
+    return sinks.read_appended(spark, target).groupBy("session_id").agg(F.count("*").alias("rows"), F.max("seq").alias("last_seq"))
 
 
 @query("incremental_features", with_views("SELECT * FROM features", *FRAME_VIEWS))
@@ -561,5 +571,5 @@ def incremental_features(spark, sf):
     inc.incremental_features(e.where("label = 0"), config, target)
     inc.incremental_features(e, config, target)
     names = {n for n, *_ in config.feature_columns()}
-    found = spark.read.parquet(target)
+    found = sinks.read_appended(spark, target)
     return found.select(*[F.round(f"`{c}`", 2).alias(c) if c in names else F.col(c) for c in found.columns])
