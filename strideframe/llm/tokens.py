@@ -30,7 +30,7 @@ _LETTER = np.isin(np.arange(256), [*range(0x41, 0x5B), *range(0x61, 0x7B)])
 _LATIN = np.isin(np.arange(256), [x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)])
 _PLAIN = (np.arange(256) < 0x80) & ~_LETTER & ~SPACE
 #: Units that a worker remembers (about 200 bytes each); when there are more, it starts anew, with these in reserve.
-MEMORY = 400_000
+MEMORY = 700_000
 
 
 def _after_letters(data: np.ndarray) -> np.ndarray:
