@@ -30,7 +30,7 @@ _LETTER = np.isin(np.arange(256), [*range(0x41, 0x5B), *range(0x61, 0x7B)])
 _LATIN = np.isin(np.arange(256), [x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)])
 _PLAIN = (np.arange(256) < 0x80) & ~_LETTER & ~SPACE
 #: Units that a worker remembers (about 200 bytes each); when there are more, it starts anew, with these in reserve.
-MEMORY = 700_000
+MEMORY = 500_000
 
 
 def _after_letters(data: np.ndarray) -> np.ndarray:
@@ -108,19 +108,21 @@ class Codec:
         _, at, back = np.unique(keys, return_index=True, return_inverse=True)
         raw, memo = data.tobytes(), self.memo
         units = [raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist())]
-        fresh = [u for u in units if u not in memo]
-        if len(memo) + len(fresh) > MEMORY:
-            self.older, self.memo = memo, {}
-            memo, fresh = self.memo, units
-        if self.older:
-            older = self.older
-            memo.update((u, older[u]) for u in fresh if u in older)
-            fresh = [u for u in fresh if u not in memo]
-        for k in range(0, len(fresh), 20_000):
-            part = fresh[k : k + 20_000]
-            for unit, e in zip(part, self.library.encode_batch_fast([u.decode() for u in part], add_special_tokens=False)):
-                memo[unit] = np.array(e.ids, self.width).tobytes()
-        held = [memo[u] for u in units]
+        held = list(map(memo.get, units))
+        if None in held:
+            fresh = [u for u, x in zip(units, held) if x is None]
+            if len(memo) + len(fresh) > MEMORY:
+                self.older, self.memo = memo, {}
+                memo, fresh = self.memo, units
+            if self.older:
+                older = self.older
+                memo.update((u, older[u]) for u in fresh if u in older)
+                fresh = [u for u in fresh if u not in memo]
+            for k in range(0, len(fresh), 20_000):
+                part = fresh[k : k + 20_000]
+                for unit, e in zip(part, self.library.encode_batch_fast([u.decode() for u in part], add_special_tokens=False)):
+                    memo[unit] = np.array(e.ids, self.width).tobytes()
+            held = list(map(memo.__getitem__, units))
         offsets = np.zeros(len(held) + 1, np.int64)
         np.cumsum(np.fromiter(map(len, held), np.int64, len(held)) // self.width.itemsize, out=offsets[1:])
         return np.frombuffer(b"".join(held), self.width), offsets, back
