@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from strideframe.llm import chunk_bpe, count_cache, id_files, license_align, loglik, odd_sketch, phrase_index, quality_knn, suffix_dedup, toxicity
 from strideframe.llm.frames import table
+from strideframe.llm.oracles import ORACLES  # noqa: F401
 from strideframe.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+
 
 
 def query(build: Callable[[SparkSession, str], DataFrame]):
