@@ -38,8 +38,8 @@ def beside(docs: DataFrame, extra: DataFrame, how: str = "left") -> DataFrame:
 
 
 def keep_rows(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of the rows of `docs` whose key is not in `dropped`."""
-    return docs.alias("a").join(dropped.select("doc_id", "h").alias("b"), of_row(id_col, text_col), "left_anti")
+    """All columns of the rows of `docs` whose key is not in `dropped`, by the same plan whatever the size of `dropped`."""
+    return docs.alias("a").join(dropped.select("doc_id", "h").hint("shuffle_hash").alias("b"), of_row(id_col, text_col), "left_anti")
 
 
 def of_row(id_col: str = "doc_id", text_col: str = "text") -> Column:

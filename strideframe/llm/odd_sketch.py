@@ -208,7 +208,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
     # 3. Exact links within them.
     members = _in_blocks(coarse, ["component"]).select("node.doc_id", "node.h", "g").groupBy("doc_id", "h").agg(F.collect_list("g").alias("gs"))
-    texts = beside(packed(rows), members, "inner").select("doc_id", "h", "zip", F.explode("gs").alias("g"))
+    texts = beside(packed(rows), members.hint("shuffle_hash"), "inner").select("doc_id", "h", "zip", F.explode("gs").alias("g"))
     texts = texts.repartition("g").sortWithinPartitions("g", "doc_id", "h")
 
     def by_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
