@@ -16,28 +16,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strideframe.llm.frames import batch, in_batches, keyed
-from strideframe.llm.text import pieces
+from strideframe.llm.text import mix, pieces
 from strideframe.llm.vectors import document_frequency, examples, fold, in_vocabulary, word_terms
 
 #: Labelled rows of each class to learn from; terms at most; examples of a block.
 EXAMPLES, TERMS, BLOCK = 3000, 2000, 64
 #: Log-likelihood ratio from which on a term counts as telling (chance gives about one in 100,000).
 TELLING = 20.0
+#: How many times more frequent a term is in one class at least; the words of a language are weaker than that.
+TIMES = 4.0
 
 
 def telling_terms(hashes: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Sorted hashes of the terms whose document frequency depends on the label."""
+    """Sorted hashes of the terms whose frequency among the examples depends on the label, beyond chance and by a multiple."""
     if not len(hashes):
         return np.zeros(0, np.uint64)
     term, at = np.unique(np.concatenate(hashes), return_inverse=True)
     label = np.repeat(y, [len(h) for h in hashes])
-    seen = np.stack([np.bincount(at[label == c], minlength=len(term)) for c in (0, 1)]).astype(float)
-    size = np.array([[np.sum(y == 0)], [np.sum(y == 1)]], float)
+    # Near copies of a text would make its rare words telling, so texts with the same least term hash count once; the
+    # least count of several hashes stays.
+    seen, size = np.full((2, len(term)), np.inf), np.full((2, 1), np.inf)
+    for k in range(1, 5):
+        least = np.array([int(mix(h ^ np.uint64(k)).min(initial=np.uint64(2**64 - 1))) for h in hashes], np.uint64)
+        _, text = np.unique(least, return_inverse=True)
+        for c in (0, 1):
+            pair = np.unique(at[label == c] * (len(text) + 1) + np.repeat(text, [len(h) for h in hashes])[label == c])
+            seen[c] = np.minimum(seen[c], np.bincount(pair // (len(text) + 1), minlength=len(term)))
+            size[c] = np.minimum(size[c], len(np.unique(text[y == c])))
+    seen = np.minimum(seen, size)
     share = seen.sum(0) / max(1.0, size.sum())
     with np.errstate(divide="ignore", invalid="ignore"):
         parts = [x * np.log(x / (size * s)) for x, s in ((seen, share), (size - seen, 1 - share))]
     ratio = 2 * sum(np.nan_to_num(p, nan=0.0, posinf=0.0, neginf=0.0).sum(0) for p in parts)
-    best = np.flatnonzero(ratio >= TELLING)
+    times = ((seen[0] + 0.5) / (size[0] + 1)) / ((seen[1] + 0.5) / (size[1] + 1))
+    best = np.flatnonzero((ratio >= TELLING) & (np.maximum(times, 1 / times) >= TIMES))
     return np.sort(term[best[np.argsort(-ratio[best], kind="stable")[:TERMS]]])
 
 
