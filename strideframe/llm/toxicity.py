@@ -55,10 +55,9 @@ def telling_terms(hashes: list[np.ndarray], y: np.ndarray) -> np.ndarray:
 
 @dataclass
 class BlockMaxIndex:
-    """Unit vectors by term: postings `rows`/`weights` from `at[t]` on, `cut[t, b]` where block b begins, `top[t, b]` its largest weight."""
+    """Unit vectors by term: postings `rows`/`weights`, `cut[t, b]` where those of block b begin, `top[t, b]` its largest weight."""
 
     n: int
-    at: np.ndarray
     rows: np.ndarray
     weights: np.ndarray
     cut: np.ndarray
@@ -72,24 +71,30 @@ class BlockMaxIndex:
         cut = np.searchsorted(terms * blocks + rows // BLOCK, np.arange(n_terms)[:, None] * blocks + np.arange(blocks + 1))
         top = np.zeros((n_terms, blocks))
         np.maximum.at(top, (terms, rows // BLOCK), weights)
-        return cls(n, cut[:, 0], rows, weights, cut, top)
+        return cls(n, rows, weights, cut, top)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k rows of the largest dot products above 0, ties by row number."""
         bound = weights @ self.top[terms]
-        best_rows, best = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) == k and bound[b] < best[-1] - 1e-12):
-                break
-            score = np.zeros(min(BLOCK, self.n - b * BLOCK))
-            for t, q in zip(terms, weights):
-                s = slice(self.cut[t, b], self.cut[t, b + 1])
-                score[self.rows[s] - b * BLOCK] += q * self.weights[s]
-            hit = np.flatnonzero(score > 0)
-            best_rows, best = np.concatenate([best_rows, hit + b * BLOCK]), np.concatenate([best, score[hit]])
-            order = np.lexsort((best_rows, -np.round(best, 12)))[:k]
-            best_rows, best = best_rows[order], best[order]
-        return best_rows, best
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        score = np.zeros(self.n)
+        self._add(score, order[:4], terms, weights)
+        least = np.sort(score)[-k] if self.n >= k else 0.0  # no neighbour is under it
+        self._add(score, order[4:][bound[order[4:]] >= least - 1e-12], terms, weights)
+        hit = np.flatnonzero((score > 0) & (score >= least - 1e-12))
+        hit = hit[np.lexsort((hit, -np.round(score[hit], 12)))[:k]]
+        return hit, score[hit]
+
+    def _add(self, score: np.ndarray, blocks: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> None:
+        """Scores of the rows of some blocks."""
+        wanted = np.zeros(self.top.shape[1], bool)
+        wanted[blocks] = True
+        for t, q in zip(terms, weights):
+            own = slice(self.cut[t, 0], self.cut[t, -1])
+            rows, w = self.rows[own], self.weights[own]
+            good = wanted[rows // BLOCK]
+            score[rows[good]] += q * w[good]
 
 
 @dataclass
