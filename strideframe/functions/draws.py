@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import math
+
+from pyspark.sql import Column, SparkSession, functions as F
 
 
 def keyed(*parts: Column | str | int) -> Column:
@@ -15,8 +17,14 @@ def order_key(*parts: Column | str | int) -> Column:
     return F.md5(keyed(*parts))
 
 
-def hash_block(key: Column, digits: int = 2) -> Column:
-    """Leading hex digits of an order key: evenly filled blocks that follow its order."""
+def hash_block(key: Column, digits: int | None = None) -> Column:
+    """Leading hex digits of an order key: evenly filled blocks that follow its order.
+
+    Without `digits` there are at least four blocks for each shuffle partition.
+    """
+    if digits is None:
+        spark = SparkSession.active()
+        digits = max(2, math.ceil(math.log(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), 16)))
     return F.substring(key, 1, digits)
 
 

@@ -36,9 +36,14 @@ def lookup(key: Column, table: dict) -> Column:
     return case.otherwise(F.lit(None))
 
 
-def path_log_sensor(name: Column) -> Column:
+def path_sensor_name(name: Column) -> Column:
+    """Last part of a sensor's dotted name, cleaned."""
     cleaned = F.lower(F.regexp_replace(name, "[^a-zA-Z0-9._-]", ""))
-    return lookup(F.element_at(F.split(cleaned, "\\."), -1), PATH_LOG_SENSORS)
+    return F.element_at(F.split(cleaned, "\\."), -1)
+
+
+def path_log_sensor(name: Column) -> Column:
+    return lookup(path_sensor_name(name), PATH_LOG_SENSORS)
 
 
 def row_log_sensor(name: Column) -> Column:
@@ -151,8 +156,16 @@ def path_parts(path: Column) -> dict[str, Column]:
 
     A log may be one file, or a folder of part files carrying the log's name.
     """
+    return name_parts(path_name(path))
+
+
+def path_name(path: Column) -> Column:
     decoded = F.regexp_replace(path, "/part-[^/]*$", "")
-    name = F.regexp_replace(F.element_at(F.split(decoded, "/"), -1), "^[A-Za-z_]+=", "")
+    return F.regexp_replace(F.element_at(F.split(decoded, "/"), -1), "^[A-Za-z_]+=", "")
+
+
+def name_parts(name: Column) -> dict[str, Column]:
+    """The fields of a log's name."""
     stem = F.regexp_replace(name, "\\.[^.]*$", "")
     tokens = F.split(name, "_")
     return {

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from strideframe.config import SENSOR_AXES, FeatureConfig
+from strideframe.config import FeatureConfig, OWN_AGGREGATIONS, SENSOR_AXES
 from strideframe.functions.stats import excess_kurtosis, mean_axis_correlation
 from strideframe.functions.scalars import magnitude
 from strideframe.operators import windows as win
@@ -19,11 +19,12 @@ REGISTRY: dict[str, Callable[[], Column]] = {}
 
 
 def register(name: str):
-    """Add an aggregate feature; the builder returns an aggregate Column."""
+    """Add an aggregate feature; the builder returns an aggregate Column. Configurations know it from then on."""
     def add(builder: Callable[[], Column]) -> Callable[[], Column]:
         if name in REGISTRY:
             raise ValueError(f"feature {name!r} is already registered")
         REGISTRY[name] = builder
+        OWN_AGGREGATIONS.add(name)
         return builder
     return add
 

@@ -191,7 +191,7 @@ def session_vote(predictions: DataFrame, labels: Sequence[int], metadata: Sequen
 
 def mode_metric_table(predictions: DataFrame, labels: Mapping[str, int], identity: Sequence[str],
                       fold: str | None = None) -> DataFrame:
-    """Per-class rows for every run, or for every run and fold, in report order."""
+    """Per-class rows for every run, or for every run and fold; report order is (run, fold, `mode_position`)."""
     by = [*identity, *([fold] if fold else [])]
     return mode_rows(confusion_sums(predictions, labels, by), labels, by)
 
@@ -199,7 +199,7 @@ def mode_metric_table(predictions: DataFrame, labels: Mapping[str, int], identit
 def mode_rows(sums: DataFrame, labels: Mapping[str, int], by: Sequence[str]) -> DataFrame:
     table = per_class_metrics(sums, labels, by)
     position = lookup(F.col("transport_mode"), {name: i for i, name in enumerate(labels)})
-    return table.withColumn("mode_position", position).orderBy(*by, "mode_position")
+    return table.withColumn("mode_position", position)
 
 
 def run_metrics(predictions: DataFrame, labels: Mapping[str, int], identity: Sequence[str]) -> DataFrame:

@@ -7,7 +7,6 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strideframe.functions import scalars as sc
-from strideframe.functions.tables import small_map
 from strideframe.schema import EVENT_COLUMNS, SENSOR_COLUMNS
 
 
@@ -20,6 +19,15 @@ def event_rows(df: DataFrame) -> DataFrame:
             F.col("timestamp_ms").isNotNull() & F.col("label").isNotNull())
 
 
+def bind(df: DataFrame) -> DataFrame:
+    """The same rows with every column computed once.
+
+    The optimizer copies an expression to each place that uses it; it doesn't look through a generator, so fields
+    parsed here are read, not parsed again, by what follows.
+    """
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+
+
 def _extra(df: DataFrame, keep: tuple[str, ...]) -> list[Column]:
     return [F.col(c) for c in keep]
 
@@ -27,33 +35,37 @@ def _extra(df: DataFrame, keep: tuple[str, ...]) -> list[Column]:
 def normalize_path_logs(raw: DataFrame, labels: Mapping[str, int], domain: str = "source",
                         keep: tuple[str, ...] = ()) -> DataFrame:
     """Headerless logs: mode and participant come from `file_path`, unknown modes are dropped."""
-    part = sc.path_parts(F.col("file_path"))
-    v0, v1, v2 = [sc.number(F.col(f"value_{i}")) for i in range(3)]
-    rows = raw.select(
-        F.lit(domain).alias("domain"), part["participant"].alias("participant_id"), part["participant"].alias("device_id"),
-        part["stem"].alias("session_id"), part["stem"].alias("trip_id"), part["mode"].alias("vehicle_type"),
-        sc.lookup(part["mode"], labels).alias("label"), F.lit("unknown").alias("phone_position"),
-        sc.digits_timestamp(F.col("time")).alias("timestamp_ms"), sc.path_log_sensor(F.col("sensor_type")).alias("_sensor"),
-        v0.alias("_v0"), v1.alias("_v1"), v2.alias("_v2"), *_extra(raw, keep))
-    return _readings(rows, keep)
+    named = bind(raw.withColumn("_name", sc.path_name(F.col("file_path"))).withColumn(
+        "_sensor_name", sc.path_sensor_name(F.col("sensor_type"))))
+    part = sc.name_parts(F.col("_name"))
+    rows = bind(named.select(
+        F.lit(domain).alias("domain"), part["participant"].alias("participant_id"), part["stem"].alias("session_id"),
+        part["mode"].alias("vehicle_type"), F.lit("unknown").alias("phone_position"),
+        sc.digits_timestamp(F.col("time")).alias("timestamp_ms"), sc.lookup(F.col("_sensor_name"), sc.PATH_LOG_SENSORS).alias("_sensor"),
+        *[sc.number(F.col(f"value_{i}")).alias(f"_v{i}") for i in range(3)], *_extra(raw, keep)))
+    label = sc.lookup(F.col("vehicle_type"), labels)
+    return _readings(rows.withColumn("device_id", F.col("participant_id")).withColumn("trip_id", F.col("session_id")).withColumn("label", label), keep)
 
 
 def normalize_row_logs(raw: DataFrame, labels: Mapping[str, int], domain: str = "source",
                        keep: tuple[str, ...] = ()) -> DataFrame:
     """Logs with a header row: every row names its trip, mode, sensor, platform and device."""
-    mode, os = F.lower(F.col("transportType")), F.upper(F.col("OS"))
-    sensor = sc.row_log_sensor(F.col("typeString"))
-    unit = lambda i: sc.platform_units(F.col("OS"), sensor, sc.number(F.col(f"value_{i}")))
+    os = F.upper(F.col("OS"))
+    named = bind(raw.where(F.col("installationId").isNotNull()).select(
+        "*", F.lower(F.col("transportType")).alias("_mode"), sc.row_log_sensor(F.col("typeString")).alias("_sensor"),
+        *[sc.number(F.col(f"value_{i}")).alias(f"_n{i}") for i in range(3)]))
+    mode, sensor = F.col("_mode"), F.col("_sensor")
+    unit = lambda i: sc.platform_units(F.col("OS"), sensor, F.col(f"_n{i}"))
     # pressure is scaled in its only value; the other two are unused there
     trip = sc.composite_key(F.col("journeyNumber"), F.col("tripNumber"))
     device = F.lower(F.concat_ws(":", F.coalesce(os, F.lit("")), F.coalesce("manufacturer", F.lit("unknown")),
                                  F.coalesce("model", F.lit("unknown"))))
-    rows = raw.where(F.col("installationId").isNotNull()).select(
+    rows = bind(named.select(
         F.lit(domain).alias("domain"), F.col("installationId").cast("string").alias("participant_id"), device.alias("device_id"),
         sc.composite_key(F.col("installationId"), trip).alias("session_id"), trip.alias("trip_id"), mode.alias("vehicle_type"),
         sc.lookup(mode, labels).alias("label"), F.lower(F.col("deviceLocation")).alias("phone_position"),
         sc.iso_millis(F.col("timestamp")).alias("timestamp_ms"), sensor.alias("_sensor"),
-        *[unit(i).alias(f"_v{i}") for i in range(3)], *_extra(raw, keep))
+        *[unit(i).alias(f"_v{i}") for i in range(3)], *_extra(raw, keep)))
     return _readings(rows, keep)
 
 
@@ -100,10 +112,9 @@ def normalize_documents(documents: DataFrame, labels: Mapping[str, int], domain:
 
 
 def label_lookup(rows: DataFrame, labels: DataFrame, column: str = "vehicle_type") -> DataFrame:
-    """Attach labels from a small (transport_mode, label) table; rows of unknown modes go."""
-    table = small_map(labels, F.col("transport_mode"), F.col("label"))
-    found = rows.withColumn("_labels", table).withColumn("label", F.try_element_at("_labels", F.col(column)))
-    return found.drop("_labels").where("label IS NOT NULL")
+    """Attach labels from a (transport_mode, label) table of any size, one row per mode; rows of unknown modes go."""
+    table = labels.where("label IS NOT NULL").select(F.col("transport_mode").alias("_mode"), "label")
+    return rows.drop("label").join(table, F.col(f"`{column}`") == F.col("_mode")).drop("_mode")
 
 
 def cohort_filter(sessions: DataFrame, country: str, quarantined: str, root: str = "raw") -> DataFrame:

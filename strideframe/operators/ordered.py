@@ -73,46 +73,35 @@ def range_blocks(df: DataFrame, keys: list[str], order: list[str], block: str =
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float], names: list[str],
-                    large_group: int = 5_000_000, splits: int = 1024) -> DataFrame:
-    """Linear-interpolated quantiles per group, exact for groups of any size.
+                    splits: int = 1024) -> DataFrame:
+    """Linear-interpolated quantiles per group, exact for groups of any size; a NULL key is a group of its own.
 
-    Groups up to `large_group` rows use the built-in `percentile`. A larger one is cut into value
-    blocks at approximate quantiles (a bounded sketch); block counts tell which blocks hold the wanted
-    ranks, and only the rows of those blocks are shuffled and ordered.
+    Rows are read once and kept as (group, value, times). A group is cut into value blocks at approximate
+    quantiles (a bounded sketch); block sizes tell which blocks hold the wanted ranks, and only those are ordered.
     """
     known = df.where(F.col(value).isNotNull() & ~F.isnan(value))
-    sized = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    big = sized.where(F.col("_n") > large_group)
-    small = known.join(big, keys, "left_anti").groupBy(*keys).agg(
-        *[F.expr(f"percentile(`{value}`, {s}D)").alias(n) for s, n in zip(shares, names)])
-
-    rows = known.select(*keys, value).join(big.select(*keys), keys, "left_semi")
-    cuts = rows.groupBy(*keys).agg(
-        F.percentile_approx(value, [i / splits for i in range(1, splits)], 10_000).alias("_cuts"))
-    block = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    placed = rows.join(cuts, keys).withColumn("_block", block).drop("_cuts")
+    counts = cut_lineage(known.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_times")))
+    cuts = counts.groupBy(*keys).agg(
+        F.percentile_approx("_v", [i / splits for i in range(1, splits)], 10 * splits).alias("_cuts"), F.sum("_times").alias("_n"))
+    block = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
+    placed = join_null_safe(counts, cuts, keys).withColumn("_block", block).drop("_cuts")
 
     # ranks to find: the two neighbours of each quantile position
+    at = lambda s: (F.col("_n") - 1) * F.lit(s)
     spots = F.array(*[F.struct(F.lit(n).alias("_name"), F.lit(edge).alias("_edge"), rank.alias("_rank"))
-                      for s, n in zip(shares, names)
-                      for edge, rank in (("lo", F.floor((F.col("_n") - 1) * F.lit(s))),
-                                         ("hi", F.ceil((F.col("_n") - 1) * F.lit(s))))])
+                      for s, n in zip(shares, names) for edge, rank in (("lo", F.floor(at(s))), ("hi", F.ceil(at(s))))])
     earlier = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    blocks = (placed.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_c"))
+    blocks = (placed.groupBy(*keys, "_n", "_block").agg(F.sum("_times").alias("_c"))
               .withColumn("_before", F.coalesce(F.sum("_c").over(earlier), F.lit(0))))
-    wanted = (blocks.join(big, keys).select("*", F.inline(spots))
-              .where((F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_c"))))
-    inside = placed.join(wanted.select(*keys, "_block").distinct(), [*keys, "_block"], "left_semi")
-    upto = W.partitionBy(*keys, "_block").orderBy(value)
-    counted = (inside.groupBy(*keys, "_block", value).agg(F.count(F.lit(1)).alias("_c"))
-               .withColumn("_last", F.sum("_c").over(upto)).withColumnRenamed("_c", "_times"))
-    found = counted.join(wanted, [*keys, "_block"]).where(
-        (F.col("_rank") < F.col("_before") + F.col("_last"))
-        & (F.col("_rank") >= F.col("_before") + F.col("_last") - F.col("_times")))
+    wanted = blocks.select("*", F.inline(spots)).where((F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_c")))
+    wanted = wanted.groupBy(*keys, "_block", "_before").agg(F.collect_list(F.struct("_name", "_edge", "_rank")).alias("_wanted"))
+    inside = join_null_safe(placed, wanted, [*keys, "_block"])
+    last = F.col("_before") + F.sum("_times").over(W.partitionBy(*keys, "_block").orderBy("_v"))
+    found = inside.withColumn("_last", last).select(*keys, "_n", "_v", "_last", "_times", F.inline("_wanted")).where(
+        (F.col("_rank") < F.col("_last")) & (F.col("_rank") >= F.col("_last") - F.col("_times")))
     edges = found.groupBy(*keys).agg(F.first("_n").alias("_n"), *[
-        F.max(F.when((F.col("_name") == n) & (F.col("_edge") == e), F.col(value))).alias(f"_{n}_{e}")
+        F.max(F.when((F.col("_name") == n) & (F.col("_edge") == e), F.col("_v"))).alias(f"_{n}_{e}")
         for n in names for e in ("lo", "hi")])
-    part = lambda s: (F.col("_n") - 1) * F.lit(s) - F.floor((F.col("_n") - 1) * F.lit(s))
-    large = edges.select(*keys, *[
+    part = lambda s: at(s) - F.floor(at(s))
+    return edges.select(*keys, *[
         (F.col(f"_{n}_lo") + (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) * part(s)).alias(n) for s, n in zip(shares, names)])
-    return small.unionByName(large)

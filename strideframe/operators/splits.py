@@ -14,8 +14,7 @@ from strideframe.config import StudyGrid, calibration_fractions
 from strideframe.functions.digests import digest_text, set_digest
 from strideframe.functions.draws import hash_block, order_key
 from strideframe.functions.scalars import lookup
-from strideframe.functions.tables import small_map
-from strideframe.operators.ordered import ranked
+from strideframe.operators.ordered import range_blocks, ranked
 
 MOST_FOLDS = 1000
 
@@ -64,8 +63,7 @@ def group_holdout_split(rows: DataFrame, labels: Mapping[str, int], fraction: fl
     shares = calibration_fractions(fraction, labels)
     groups = group_labels(rows, labels, group)
     sizes = groups.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
-    order = shuffled_rank(groups, ["label"], seed, F.col("label"), F.col(group)).withColumn(
-        "_sizes", small_map(sizes, F.col("label"), F.col("_n"))).withColumn("_n", F.try_element_at("_sizes", F.col("label")))
+    order = shuffled_rank(groups, ["label"], seed, F.col("label"), F.col(group)).join(sizes, "label")
     share = lookup(F.col("label"), shares)
     take = F.greatest(F.lit(1).cast("bigint"), F.least(F.col("_n") - 1, F.floor(F.col("_n") * share)))
     role = F.when(F.col("_n") < 2, F.raise_error(F.concat(F.lit("fewer than two groups for label "), "label"))) \
@@ -92,9 +90,8 @@ def stratified_group_kfold(rows: DataFrame, group: str, seed: int, folds: int) -
         F.sum("_n").alias("rows"), F.max_by("label", F.struct("_n", -F.col("label"))).alias("label"))
     if folds < 2:
         raise ValueError("stratified folds need at least two folds")
-    keyed = groups.withColumn("_key", order_key(seed, F.col(group))).withColumn(
-        "_block", F.struct("label", (-F.col("rows")).alias("less"), hash_block(F.col("_key")).alias("part")))
-    dealt = ranked(keyed, [], "_block", ["_block", "_key"], "rank")
+    keyed = groups.withColumn("_key", order_key(seed, F.col(group))).withColumn("_less", -F.col("rows"))
+    dealt = ranked(range_blocks(keyed, [], ["label", "_less", "_key"]), [], "_block", ["label", "_less", "_key"], "rank")
     i = F.col("rank") - 1
     place = F.pmod(i, F.lit(folds))
     even = F.pmod(F.floor(i / folds), F.lit(2)) == 0

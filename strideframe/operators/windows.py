@@ -180,8 +180,7 @@ def quality_gate(rows: DataFrame, config: FeatureConfig) -> DataFrame:
         (F.count_if("passes") == wanted).alias("kept"))
 
 
-def session_baseline(events: DataFrame, sensors: list[str], order: str | None = "seq",
-                     large_group: int = 5_000_000) -> DataFrame:
+def session_baseline(events: DataFrame, sensors: list[str], order: str | None = "seq") -> DataFrame:
     """First finite pressure and exact median magnetometer magnitude per session.
 
     Pressures at the same first timestamp are told apart by `order`, else by their value.
@@ -193,7 +192,7 @@ def session_baseline(events: DataFrame, sensors: list[str], order: str | None =
         result = events.groupBy(SESSION).agg(F.min_by(p, when).alias("pressure_baseline"))
     if "magnetometer" in sensors:
         sizes = events.select(SESSION, magnitude(*[F.col(a) for a in SENSOR_AXES["magnetometer"]]).alias("_m"))
-        medians = exact_quantiles(sizes, [SESSION], "_m", [0.5], ["magnetometer_baseline"], large_group)
+        medians = exact_quantiles(sizes, [SESSION], "_m", [0.5], ["magnetometer_baseline"])
         result = result.join(medians, SESSION, "left")
     return result
 

@@ -17,13 +17,12 @@ from strideframe.operators.weights import balanced_rows, training_weights
 from strideframe.plans.jobs import side_by_side
 from strideframe.session import cut_lineage
 
-# Search ranges per model family. (whole, low, high, step), (real, low, high),
+# Search ranges per model family, of settings that the learners have. (whole, low, high, step), (real, low, high),
 # (log, low, high) or (choice, options).
 RANGES: dict[str, dict[str, tuple]] = {
     "random_forest": {
         "n_estimators": ("whole", 200, 800, 100),
         "max_depth": ("choice", (None, 8, 12, 16, 24)),
-        "min_samples_split": ("choice", (2, 4, 8, 16)),
         "min_samples_leaf": ("choice", (1, 2, 4, 8)),
         "max_features": ("choice", ("sqrt", "log2", 0.5, 0.8)),
     },
@@ -31,21 +30,14 @@ RANGES: dict[str, dict[str, tuple]] = {
         "n_estimators": ("whole", 200, 1200, 100),
         "learning_rate": ("log", 0.02, 0.2),
         "max_depth": ("whole", 3, 8, 1),
-        "min_child_weight": ("real", 1, 10),
+        "min_samples_leaf": ("whole", 1, 10, 1),
         "subsample": ("real", 0.6, 1.0),
-        "colsample_bytree": ("real", 0.5, 1.0),
-        "gamma": ("real", 0, 5),
-        "reg_alpha": ("real", 0, 2),
-        "reg_lambda": ("real", 0.5, 10),
+        "max_features": ("real", 0.5, 1.0),
+        "min_info_gain": ("real", 0, 0.05),
     },
     "mlp": {
         "hidden_layers": ("choice", ("64", "128", "64_32", "128_64")),
-        "activation": ("choice", ("relu", "tanh")),
-        "alpha": ("log", 1e-6, 1e-2),
-        "learning_rate_init": ("log", 1e-4, 5e-3),
-        "batch_size": ("choice", (32, 64, 128, 256)),
         "max_iter": ("whole", 100, 300, 50),
-        "n_iter_no_change": ("whole", 10, 20, 1),
         "tol": ("log", 1e-4, 1e-3),
     },
 }

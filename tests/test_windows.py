@@ -142,3 +142,17 @@ def test_features_arrive_once_without_a_sequence_column(spark, tmp_path):
         assert values(found, "session_id", "window_start_ms") == [("s1", 0), ("s2", 0)]
     # pressure 1000, 1001 in the window against 1000 at the start
     assert found.where("session_id = 's1'").first()["pressure#delta_from_session_baseline"] == pytest.approx(0.5)
+
+
+def test_own_aggregates_are_known_to_configurations(spark):
+    from pyspark.sql import functions as F
+    from strideframe.config import aggregation_name
+    from strideframe.operators.features import REGISTRY, register
+    with pytest.raises(ValueError, match="unknown aggregation"):
+        aggregation_name("middle value")
+    register("middle_value")(lambda: F.median("value"))
+    try:
+        assert aggregation_name("Middle-Value") == "middle_value"
+    finally:
+        from strideframe.config import OWN_AGGREGATIONS
+        REGISTRY.pop("middle_value"), OWN_AGGREGATIONS.discard("middle_value")
