@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from strideframe.config import StudyGrid, calibration_fractions
 from strideframe.functions.digests import digest_text, set_digest
 from strideframe.functions.draws import hash_block, order_key
 from strideframe.functions.scalars import lookup
 from strideframe.operators.ordered import range_blocks, ranked
+from strideframe.session import cut_lineage
 
 MOST_FOLDS = 1000
 
@@ -125,58 +126,50 @@ def lopo_folds(sessions: DataFrame) -> DataFrame:
         digest_text(F.col("_n") - t["n"], F.col("_a") - t["a"], F.col("_b") - t["b"]).alias("pool_digest"))
 
 
-def _participants(sessions: DataFrame, most_folds: int) -> Column:
-    """All participants as one array.
+def calibration_cutoffs(keyed: DataFrame, fractions: Sequence[float]) -> DataFrame:
+    """The last order key of each (fold, seed, mode, fraction): a row for each, none for each session of a fold.
 
-    Each fold stands for a model to be fitted, so the number of participants is small; it is checked.
+    `keyed` has sessions with `seed` and the order key `_key`. The md5 order of a seed and mode serves all folds. Of a
+    participant's sessions, number j at place g of that order leaves g - j others before it, so k others end at
+    place k + i, where i of the participant's sessions have g - j < k.
     """
-    people = [r[0] for r in sessions.select("participant_id").distinct().limit(most_folds + 1).collect()]
-    if len(people) > most_folds:
-        raise ValueError(f"leave-one-out over more than {most_folds} participants")
-    return F.array(*[F.lit(p) for p in sorted(people)])
-
-
-def _for_other_folds(rows: DataFrame, people: Column) -> DataFrame:
-    """Each row once for every fold that holds out someone else."""
-    return rows.withColumn("held_out_participant_id", F.explode(F.filter(people, lambda p: p != F.col("participant_id"))))
-
-
-def nested_calibration(sessions: DataFrame, fractions: Sequence[float], seeds: Sequence[int],
-                       most_folds: int = MOST_FOLDS) -> DataFrame:
+    cell = ["seed", "vehicle_type"]
+    placed = cut_lineage(ranked(ranked(keyed.select(*cell, "participant_id", "_key", "_block"), cell, "_block", ["_key"], "_g"),
+                                [*cell, "participant_id"], "_block", ["_key"], "_j"))
+    sizes = placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
+    own = placed.groupBy(*cell, "participant_id").agg(F.count(F.lit(1)).alias("_own"))
+    folds = placed.select(F.col("participant_id").alias("held_out_participant_id")).distinct()
+    # seeds and modes are settings, so their cells are few and fit one value
+    cells = sizes.agg(F.collect_list(F.struct(*cell, "_n"))).scalar()
+    wanted = folds.select("held_out_participant_id", F.inline(cells)).join(own.withColumnRenamed("participant_id", "held_out_participant_id"),
+                                    [*cell, "held_out_participant_id"], "left")
+    n = F.col("_n") - F.coalesce("_own", F.lit(0))
+    takes = F.array(*[F.struct(F.lit(float(f)).alias("fraction"),
+                               (n if f == 1 else F.greatest(F.lit(1).cast("bigint"), F.floor(n * F.lit(float(f))))).alias("_k")) for f in fractions])
+    levels = wanted.where(n > 0).select(*cell, "held_out_participant_id", F.inline(takes))
+    skipped = levels.join(placed.select(*cell, F.col("participant_id").alias("held_out_participant_id"), (F.col("_g") - F.col("_j")).alias("_others")),
+                          [*cell, "held_out_participant_id"], "left")
+    ends = skipped.groupBy(*cell, "held_out_participant_id", "fraction", "_k").agg(F.count_if(F.col("_others") < F.col("_k")).alias("_i"))
+    last = placed.select(*cell, F.col("_g").alias("_end"), F.col("_key").alias("_last"))
+    return ends.withColumn("_end", F.col("_k") + F.col("_i")).join(last, [*cell, "_end"]).select(
+        *cell, "held_out_participant_id", "fraction", "_last")
+
+
+def nested_calibration(sessions: DataFrame, fractions: Sequence[float], seeds: Sequence[int]) -> DataFrame:
     """Calibration sessions per (fold, seed, fraction), drawn per mode from the training pool.
 
     One md5 order per seed and mode serves every fraction and condition, so smaller subsets are
-    prefixes of larger ones: all sessions at fraction 1, else max(1, floor(n * fraction)).
-
-    Keys, blocks and their counts are found on sessions; the (fold, session) rows are shuffled once, by
-    fold and block, to be ranked inside their block.
+    prefixes of larger ones: all sessions at fraction 1, else max(1, floor(n * fraction)). A fold's
+    subset is what comes up to its cut-off key and is not its own participant's.
     """
     if any(not 0 < f <= 1 for f in fractions):
         raise ValueError("calibration fractions must be above 0 and at most 1")
-    people = _participants(sessions, most_folds)
     keyed = sessions.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
     keyed = keyed.withColumn("_key", order_key(F.col("seed"), F.col("vehicle_type"), F.col("session_id"))).withColumn(
         "_block", hash_block(F.col("_key")))
-
-    pool = ["held_out_participant_id", "seed", "vehicle_type"]
-    counts = keyed.groupBy("seed", "vehicle_type", "participant_id", "_block").agg(F.count(F.lit(1)).alias("_c"))
-    blocks = _for_other_folds(counts, people).groupBy(*pool, "_block").agg(F.sum("_c").alias("_c"))
-    whole = W.partitionBy(*pool)
-    earlier = whole.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    carried = blocks.select(*pool, "_block", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_carry"),
-                            F.sum("_c").over(whole).alias("_n"))
-
-    n = F.col("_n")
-    takes = [(float(f), n if f == 1 else F.greatest(F.lit(1).cast("bigint"), F.floor(n * F.lit(float(f))))) for f in fractions]
-    most = F.greatest(*[t for _, t in takes]) if len(takes) > 1 else takes[0][1]
-    # blocks past the largest prefix are dropped before the rows are ranked
-    rows = _for_other_folds(keyed, people).join(carried.where(F.col("_carry") < most), [*pool, "_block"])
-    inside = W.partitionBy(*pool, "_block").orderBy("_key")
-    placed = rows.withColumn("_rank", F.row_number().over(inside) + F.col("_carry"))
-    levels = F.array(*[F.struct(F.lit(f).alias("fraction"), t.alias("_take")) for f, t in takes])
-    reached = F.filter(levels, lambda v: F.col("_rank") <= v["_take"])
-    return placed.withColumn("fraction", F.explode(F.transform(reached, lambda v: v["fraction"]))).select(
-        *sessions.columns, "held_out_participant_id", "seed", "fraction")
+    chosen = keyed.join(calibration_cutoffs(keyed, fractions), ["seed", "vehicle_type"]).where(
+        (F.col("_key") <= F.col("_last")) & (F.col("participant_id") != F.col("held_out_participant_id")))
+    return chosen.select(*sessions.columns, "held_out_participant_id", "seed", "fraction")
 
 
 def effective_fractions(sessions: DataFrame, selection: DataFrame) -> DataFrame:
@@ -184,8 +177,9 @@ def effective_fractions(sessions: DataFrame, selection: DataFrame) -> DataFrame:
     span = F.sum(F.col("window_end_ms") - F.col("window_start_ms")) / 1000.0
     parts = sessions.groupBy("participant_id").agg(
         F.count(F.lit(1)).alias("_s"), F.sum("window_rows").alias("_w"), span.alias("_d"))
-    pool = _for_other_folds(parts, _participants(sessions, MOST_FOLDS)).groupBy("held_out_participant_id").agg(
-        *[F.sum(c).alias(c) for c in ("_s", "_w", "_d")])
+    whole = parts.agg(*[F.sum(c).alias(c) for c in ("_s", "_w", "_d")])
+    pool = parts.withColumn("_all", whole.select(F.struct("_s", "_w", "_d")).scalar()).select(
+        F.col("participant_id").alias("held_out_participant_id"), *[(F.col(f"_all.{c}") - F.col(c)).alias(c) for c in ("_s", "_w", "_d")])
     chosen = selection.groupBy("held_out_participant_id", "seed", "fraction").agg(
         F.count(F.lit(1)).alias("sessions"), F.sum("window_rows").alias("windows"), span.alias("duration_seconds"),
         set_digest(F.col("session_id")).alias("_x"))
