@@ -24,9 +24,8 @@ def test_stages(spark, docs):
             assert sorted(map(str, alike)) == sorted(str(r.doc_id) for r in kept.select("doc_id", "text").collect())
         if name == "repeated_passages":
             cut = brute.repeats(order)
-            want = sorted(t if not cut[i, h][1] else cut[i, h][2] for i, h, t in order)
-            changed = {i for i, h, t in order if cut[i, h][1]}
-            assert sorted(r.text or "" if r.doc_id not in changed or r.text in rows.values() else brute.sha(r.text) for r in kept.collect()) == want
+            want = sorted(cut[i, h][2] if cut[i, h][1] else brute.sha(t) for i, h, t in order)
+            assert sorted(brute.sha(r.text or "") for r in kept.collect()) == want
         if name == "decontamination":
             items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
             hit = brute.phrases(order, items)
