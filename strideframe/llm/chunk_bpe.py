@@ -14,16 +14,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.llm.frames import batch, beside, in_batches, keyed, packed
+from strideframe.llm.frames import batch, beside, in_batches, keyed
 from strideframe.llm.text import _OF_BYTE, flat, pieces, runs
 from strideframe.llm.tokens import codec, decimals
 from strideframe.session import cut_lineage
 
 #: Bytes that a cut depends on; a cut comes every 2 ** CUT_BITS bytes on average.
-WINDOW, CUT_BITS = 32, 11
+WINDOW, CUT_BITS = 32, 12
 _GAPS = b" \t\n\r\x0b\x0c"
 CHUNK = "start int, end int, digest binary"
 
@@ -126,14 +127,13 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     words don't stand for themselves, and texts with the string of an added token, are encoded as a whole.
     """
     rows = keyed(docs, id_col, text_col)
-    moved = packed(rows)
     found = cut_lineage(in_batches(rows, _chunks, f"doc_id long, h long, {CHUNK}"))
     place = F.struct("doc_id", "h", "start", "end")
     shared = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("owner")).where("n > 1")
     own = shared.select("owner.*", "digest").groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "end", "digest")).alias("parts"))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(tokenizer)
+        c, close = codec(tokenizer), zstandard.ZstdCompressor(level=3).compress
         for b in pieces(batches):
             digests, cores = [], []
             for text, parts in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("parts").to_pylist()):
@@ -143,13 +143,13 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                     cores.append(text[p["start"] + a : p["start"] + z].decode() if a >= 0 else "")
             ids, at = c.encode(pa.array(cores, pa.string()))
             raw, at = ids.tobytes(), at * c.width.itemsize
-            yield batch(digest=pa.array(digests, pa.binary()), ids=pa.array([raw[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary()))
+            yield batch(digest=pa.array(digests, pa.binary()), ids=pa.array([close(raw[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary()))
 
-    cores = in_batches(beside(moved, own, "inner"), first, "digest binary, ids binary").groupBy("digest").agg(F.first("ids").alias("ids"))
+    cores = in_batches(beside(rows, own, "inner"), first, "digest binary, ids binary").groupBy("digest").agg(F.first("ids").alias("ids"))
     parts = found.join(cores, "digest").groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "end", "ids")).alias("parts"))
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(tokenizer)
+        c, open_ = codec(tokenizer), zstandard.ZstdDecompressor().decompress
         size = c.width.itemsize
         for b in pieces(batches):
             parts = b.column("parts")
@@ -162,12 +162,12 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 ids[i] = raw[s:e]
             joined = np.flatnonzero(~alone)
             pick = pa.array(joined)
-            held = [{(p["start"], p["end"]): np.frombuffer(p["ids"], c.width) for p in ps} for ps in parts.take(pick).to_pylist()]
+            held = [{(p["start"], p["end"]): np.frombuffer(open_(p["ids"]), c.width) for p in ps} for ps in parts.take(pick).to_pylist()]
             for i, x in zip(joined.tolist(), assemble(c, b.column("text").take(pick).cast(pa.binary()).to_pylist(), held)):
                 ids[i] = x.tobytes()
             yield batch(doc_id=b.column("doc_id"), h=b.column("h"), n_tokens=pa.array([len(x) // size for x in ids], pa.int64()), ids=pa.array(ids, pa.binary()))
 
-    return in_batches(beside(moved, parts), rest, "doc_id long, h long, n_tokens long, ids binary")
+    return in_batches(beside(rows, parts), rest, "doc_id long, h long, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, tokenizer: str, digests: bool = False) -> DataFrame:
