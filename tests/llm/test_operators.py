@@ -237,3 +237,19 @@ def test_license_scan(docs, empty, known):
         assert found[i, h][0] == len(words) and [tuple(m) for m in found[i, h][1]] == want
     assert [m[0] for m in found[next(k[:2] for k in known if k[0] == 9015)][1]] == ["apache-2.0", "mit", "mit"]
     assert license_align.scan(empty).count() == 0
+
+
+def test_licenses_are_told_apart(spark):
+    texts = license_align.TEXTS
+    holder = "Copyright (c) 2020 Some Body. All rights reserved.\n\n"
+    rows = {k: (holder + v, [k]) for k, v in texts.items()} | {
+        "two": (holder + texts["mit"] + "\nand\n" + texts["bsd-3-clause"].replace("COPYRIGHT HOLDER", "REGENTS"), ["mit", "bsd-3-clause"]),
+        "spdx": ("// SPDX-License-Identifier: GPL-2.0-or-later", ["gpl-2.0"]), "spdx mit": ("# SPDX-License-Identifier: MIT", ["mit"]),
+        "bsd": ("Released under the BSD License", ["bsd"]), "cc": ("Licensed under CC BY 4.0", ["cc-by-4.0"]), "nc": ("licensed under CC BY-NC-SA 4.0", ["cc-by-nc-sa-4.0"]),
+        "gpl2": ("This work is licensed under the GNU General Public License, version 2.", ["gpl-2.0"]), "lgpl": ("under the GNU Lesser General Public License, version 3", ["lgpl-3.0"]),
+        "own": ("Released under the Foo License", []), "unknown": ("Licensed under CC BY-NC 9.0", []), "plain": ("the license of the software is not told here " * 50, [])}
+    frame = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(rows.values())], "doc_id long, text string")
+    found = {r.doc_id: [m.name for m in r.notices] for r in license_align.scan(frame).collect()}
+    assert {k: found[i] for i, k in enumerate(rows)} == {k: want for k, (_, want) in rows.items()}
+    mine = {r.doc_id: [m.name for m in r.notices] for r in license_align.scan(frame, {**license_align.TEMPLATES, "foo": "Released under the Foo License"}).collect()}
+    assert mine[list(rows).index("own")] == ["foo"]
