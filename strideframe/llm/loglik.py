@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.llm.frames import batch, in_batches, keyed
+from strideframe.llm.frames import batch, in_batches, keyed, packed
 from strideframe.llm.text import SPACE, Words, flat, mix, pieces, runs, span_hashes
 
-#: Hash buckets of the two multinomials; trusted rows at most.
-BUCKETS, TRUSTED = 1 << 16, 5000
+#: Hash buckets of the two multinomials.
+BUCKETS = 1 << 16
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _SIGN = np.zeros(256, bool)
@@ -83,27 +83,27 @@ def ngram_buckets(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate([token, mix(pair[good])]) & np.uint64(BUCKETS - 1)).astype(np.int64), np.concatenate([of, of[:-1][good] if len(pair) else of[:0]])
 
 
-def ratios(docs: DataFrame, labels: DataFrame, label: str, trusted: int) -> np.ndarray:
-    """log(p_target / p_corpus) of each bucket; the corpus is all documents, the target at most `trusted` rows of label 1.
+def ratios(docs: DataFrame, labels: DataFrame, label: str) -> np.ndarray:
+    """log(p_target / p_corpus) of each bucket; the corpus is all documents, the target all those with an id of label 1.
 
     Both have one count for each bucket added. Without target rows all are 0.
     """
-    chosen = labels.where(F.col(label) == 1).select(F.col("doc_id").cast("long").alias("id")).where("id is not null").distinct().orderBy(F.xxhash64(F.lit(23), "id"), "id").limit(trusted)
-    held = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r.id for r in chosen.collect()], np.int64)))  # `trusted` ids
+    trusted = labels.where(F.col(label) == 1).select(F.col("doc_id").cast("long").alias("id")).where("id is not null").distinct()
+    # By the same plan whatever the number of ids; texts move once, compressed.
+    marked = packed(docs).join(trusted.hint("shuffle_hash"), F.col("doc_id") == F.col("id"), "left").select("zip", F.col("id").isNotNull().alias("mine"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         corpus, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for b in pieces(batches):
             bucket, of = ngram_buckets(Words(b.column("text"), SPACE))
             corpus += np.bincount(bucket, minlength=BUCKETS)
-            ids = b.column("doc_id").to_pandas()
-            mine = ids.isin(held.value).to_numpy()
+            mine = b.column("mine").to_numpy(zero_copy_only=False)
             if mine.any():
                 target += np.bincount(bucket[mine[of]], minlength=BUCKETS)
         at = np.flatnonzero(corpus)
         yield batch(bucket=pa.array(at, pa.int64()), corpus=corpus[at], target=target[at])
 
-    sums = in_batches(docs.select("doc_id", "text"), count, "bucket long, corpus long, target long").groupBy("bucket").agg(F.sum("corpus").alias("corpus"), F.sum("target").alias("target"))
+    sums = in_batches(marked, count, "bucket long, corpus long, target long").groupBy("bucket").agg(F.sum("corpus").alias("corpus"), F.sum("target").alias("target"))
     corpus, target = np.ones(BUCKETS), np.ones(BUCKETS)
     for r in sums.collect():  # BUCKETS rows
         corpus[r.bucket] += r.corpus
@@ -113,14 +113,14 @@ def ratios(docs: DataFrame, labels: DataFrame, label: str, trusted: int) -> np.n
     return np.log(target / target.sum()) - np.log(corpus / corpus.sum())
 
 
-def judge(docs: DataFrame, labels: DataFrame, label: str = "quality", trusted: int = TRUSTED, least: float = -0.25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, label: str = "quality", least: float = -0.25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, h, the rule counts, base_failed, ratio and kept of every row.
 
     `ratio` is the sum of the n-grams' log ratios over their number, 0 without any. A row is kept unless
     base_failed or its ratio is under `least`. Null and empty texts have no words, and so fail.
     """
     rows = keyed(docs, id_col, text_col)
-    held = docs.sparkSession.sparkContext.broadcast(ratios(rows, labels, label, trusted))
+    held = docs.sparkSession.sparkContext.broadcast(ratios(rows, labels, label))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):

@@ -253,3 +253,10 @@ def test_licenses_are_told_apart(spark):
     assert {k: found[i] for i, k in enumerate(rows)} == {k: want for k, (_, want) in rows.items()}
     mine = {r.doc_id: [m.name for m in r.notices] for r in license_align.scan(frame, {**license_align.TEMPLATES, "foo": "Released under the Foo License"}).collect()}
     assert mine[list(rows).index("own")] == ["foo"]
+
+
+def test_all_trusted_rows_count(spark, docs, labels):
+    absent = spark.range(10_000_000, 10_020_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    by = lambda known: {(r.doc_id, r.h): round(r.ratio, 9) for r in loglik.judge(docs, known).collect()}
+    want = by(labels)
+    assert by(labels.select("doc_id", "quality").union(absent)) == want and len(set(want.values())) > 50
