@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are the lower-case words whose frequency differs between the two classes of examples beyond chance. The
-examples stand in an inverted index cut into blocks; with each term's largest weight in a block, blocks that
+Terms are all lower-case words of the examples; those whose frequency differs between the two classes beyond chance
+weigh more. The examples stand in an inverted index cut into blocks; with each term's largest weight in a block, blocks that
 can't hold one of the nearest are passed over, and no other way of pruning is used, so neighbours are exact.
 """
 
@@ -17,20 +17,23 @@ from pyspark.sql import functions as F
 
 from strideframe.llm.frames import batch, in_batches, keyed
 from strideframe.llm.text import mix, pieces
-from strideframe.llm.vectors import document_frequency, examples, fold, in_vocabulary, word_terms
+from strideframe.llm.vectors import counted, document_frequency, examples, fold, word_terms
 
-#: Labelled rows of each class to learn from; terms at most; examples of a block.
-EXAMPLES, TERMS, BLOCK = 3000, 2000, 64
-#: Log-likelihood ratio from which on a term counts as telling (chance gives about one in 100,000).
-TELLING = 20.0
-#: How many times more frequent a term is in one class at least; the words of a language are weaker than that.
+#: Labelled rows of each class to learn from; examples of a block.
+EXAMPLES, BLOCK = 3000, 64
+#: How many times more frequent a term is in one class for its full extra weight; the words of a language are weaker than that.
 TIMES = 4.0
+#: Power by which neighbours farther off than the nearest vote less.
+SHARP = 4
 
 
-def telling_terms(hashes: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Sorted hashes of the terms whose frequency among the examples depends on the label, beyond chance and by a multiple."""
+def weighted_terms(hashes: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of all terms of the examples, and a factor of at least 1 for each.
+
+    The factor grows with the log-likelihood ratio of the term's frequencies in the two classes, fully where they differ by TIMES.
+    """
     if not len(hashes):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0)
     term, at = np.unique(np.concatenate(hashes), return_inverse=True)
     label = np.repeat(y, [len(h) for h in hashes])
     # Near copies of a text would make its rare words telling, so texts with the same least term hash count once; the
@@ -49,58 +52,70 @@ def telling_terms(hashes: list[np.ndarray], y: np.ndarray) -> np.ndarray:
         parts = [x * np.log(x / (size * s)) for x, s in ((seen, share), (size - seen, 1 - share))]
     ratio = 2 * sum(np.nan_to_num(p, nan=0.0, posinf=0.0, neginf=0.0).sum(0) for p in parts)
     times = ((seen[0] + 0.5) / (size[0] + 1)) / ((seen[1] + 0.5) / (size[1] + 1))
-    best = np.flatnonzero((ratio >= TELLING) & (np.maximum(times, 1 / times) >= TIMES))
-    return np.sort(term[best[np.argsort(-ratio[best], kind="stable")[:TERMS]]])
+    return term, 1 + np.maximum(ratio, 0) * np.minimum(1, np.abs(np.log(times)) / np.log(TIMES)) ** 4
+
+
+def _spread(offsets: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the ranges offsets[i] to offsets[i + 1] for i in index, and the length of each."""
+    n = offsets[index + 1] - offsets[index]
+    return np.arange(n.sum()) + np.repeat(offsets[index] - np.cumsum(n) + n, n), n
 
 
 @dataclass
 class BlockMaxIndex:
-    """Unit vectors by term: postings `rows`/`weights`, `cut[t, b]` where those of block b begin, `top[t, b]` its largest weight."""
+    """Unit vectors by term and block of rows: entries `first[t]` to `first[t + 1]` are the blocks of term t.
+
+    An entry has its `block`, the largest weight `top`, and where its postings `rows`/`weights` begin (`cut`).
+    """
 
     n: int
     rows: np.ndarray
     weights: np.ndarray
-    cut: np.ndarray
+    first: np.ndarray
+    block: np.ndarray
     top: np.ndarray
+    cut: np.ndarray
 
     @classmethod
     def of(cls, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, n_terms: int) -> BlockMaxIndex:
         order = np.lexsort((rows, terms))
         rows, terms, weights = rows[order], terms[order], weights[order]
-        blocks = -(-n // BLOCK)
-        cut = np.searchsorted(terms * blocks + rows // BLOCK, np.arange(n_terms)[:, None] * blocks + np.arange(blocks + 1))
-        top = np.zeros((n_terms, blocks))
-        np.maximum.at(top, (terms, rows // BLOCK), weights)
-        return cls(n, rows, weights, cut, top)
+        entry = terms * -(-n // BLOCK) + rows // BLOCK
+        head = np.flatnonzero(np.diff(entry, prepend=-1))
+        top = np.maximum.reduceat(weights, head) if len(head) else np.zeros(0)
+        return cls(n, rows, weights, np.searchsorted(terms[head], np.arange(n_terms + 1)), rows[head] // BLOCK, top, np.append(head, len(rows)))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k rows of the largest dot products above 0, ties by row number."""
-        bound = weights @ self.top[terms]
+        entry, n = _spread(self.first, terms)
+        weight, block = np.repeat(weights, n), self.block[entry]
+        bound = np.bincount(block, weight * self.top[entry], -(-self.n // BLOCK))
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         score = np.zeros(self.n)
-        self._add(score, order[:4], terms, weights)
-        least = np.sort(score)[-k] if self.n >= k else 0.0  # no neighbour is under it
-        self._add(score, order[4:][bound[order[4:]] >= least - 1e-12], terms, weights)
+        self._add(score, order[:4], entry, block, weight)
+        least = np.partition(score, -k)[-k] if self.n >= k else 0.0  # no neighbour is under it
+        self._add(score, order[4:][bound[order[4:]] >= least - 1e-12], entry, block, weight)
         hit = np.flatnonzero((score > 0) & (score >= least - 1e-12))
         hit = hit[np.lexsort((hit, -np.round(score[hit], 12)))[:k]]
         return hit, score[hit]
 
-    def _add(self, score: np.ndarray, blocks: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> None:
+    def _add(self, score: np.ndarray, blocks: np.ndarray, entry: np.ndarray, block: np.ndarray, weight: np.ndarray) -> None:
         """Scores of the rows of some blocks."""
-        wanted = np.zeros(self.top.shape[1], bool)
+        if not len(blocks):
+            return
+        wanted = np.zeros(-(-self.n // BLOCK), bool)
         wanted[blocks] = True
-        for t, q in zip(terms, weights):
-            own = slice(self.cut[t, 0], self.cut[t, -1])
-            rows, w = self.rows[own], self.weights[own]
-            good = wanted[rows // BLOCK]
-            score[rows[good]] += q * w[good]
+        good = np.flatnonzero(wanted[block])
+        own, n = _spread(self.cut, entry[good])
+        score += np.bincount(self.rows[own], np.repeat(weight[good], n) * self.weights[own], self.n)
 
 
 @dataclass
 class Model:
     vocabulary: np.ndarray
-    idf: np.ndarray
+    idf: np.ndarray  # with the factor of the term
+    other: float  # of a word of no example
     index: BlockMaxIndex
     ids: np.ndarray
     y: np.ndarray
@@ -108,40 +123,44 @@ class Model:
     prior: float
 
     def vectors(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        of, term, n = in_vocabulary(self.vocabulary, hashes, first)
-        return of, term, (1 + np.log(n)) * self.idf[term]
+        """Text, term and weight in the text's unit vector, ordered by text."""
+        of, h, n = counted(hashes, first)
+        place = np.minimum(np.searchsorted(self.vocabulary, h), max(0, len(self.vocabulary) - 1))
+        good = self.vocabulary[place] == h if len(self.vocabulary) else np.zeros(len(h), bool)
+        w = (1 + np.log(n)) * np.where(good, self.idf[place] if len(self.idf) else 0.0, self.other)
+        w /= np.sqrt(np.bincount(of, w**2, len(first) - 1))[of]
+        return of[good], place[good], w[good]
 
     def vote(self, rows: np.ndarray, cosine: np.ndarray, trust: float) -> float:
-        """Share of label 1 among the neighbours, each by its cosine and the rows it stands for, and the prior with weight `trust`."""
-        w = cosine * self.weight[rows]
+        """Share of label 1 among the neighbours, each by its cosine, its nearness beside the nearest and the rows it stands for, and the prior with weight `trust`."""
+        w = cosine * (cosine / cosine.max(initial=1e-12)) ** SHARP * self.weight[rows]
         return float((w @ self.y[rows] + trust * self.prior) / (w.sum() + trust))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int = EXAMPLES) -> Model:
     """`docs` as `keyed` gives them. At most `most` examples of each class; document frequencies are those of all documents."""
     ids, hashes, counts, y, prior = examples(docs, labels, label, learn, most, word_terms)
-    vocabulary = telling_terms(hashes, y)
+    vocabulary, factor = weighted_terms(hashes, y)
     n, df = document_frequency(docs, vocabulary, word_terms)
-    idf = np.log((1 + n) / (1 + df)) + 1
+    idf = (np.log((1 + n) / (1 + df)) + 1) * factor
     rows, terms, weights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
     for i, (h, c) in enumerate(zip(hashes, counts)):
         at = np.searchsorted(vocabulary, h)
-        ok = at < len(vocabulary)
-        ok[ok] = vocabulary[at[ok]] == h[ok]
-        w = (1 + np.log(c[ok])) * idf[at[ok]]
+        w = (1 + np.log(c)) * idf[at]
         rows.append(np.full(len(w), i))
-        terms.append(at[ok])
+        terms.append(at)
         weights.append(w / max(1e-12, np.sqrt((w**2).sum())))
     index = BlockMaxIndex.of(np.concatenate(rows), np.concatenate(terms), np.concatenate(weights), max(1, len(ids)), len(vocabulary))
     share = max(1e-9, float(y.mean())) if len(y) else 1.0
     weight = np.where(y == 1, prior / share, (1 - prior) / max(1e-9, 1 - share)) if len(y) else np.zeros(0)
-    return Model(vocabulary, idf, index, ids, y.astype(float), weight / max(1e-9, weight.max(initial=0)), prior)
+    return Model(vocabulary, idf, float(np.log(1 + n) + 1), index, ids, y.astype(float), weight / max(1e-9, weight.max(initial=0)), prior)
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, out_fold: int = 1, k: int = 15, trust: float = 0.05, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, h, held_out, score, predicted, evidence (ids and cosines of the neighbours) of every row.
 
-    A text without telling words, such as an empty or null one, has no neighbours and gets the share of label 1.
+    Cosines are taken over all words; those of no example weigh as if found in no document. A text without words of the examples, such as an empty or null one, has no
+    neighbours and gets the share of label 1.
     Without labels all scores are 0. Labels are learnt outside of fold `out_fold`; ids and other columns are no input.
     """
     rows = keyed(docs, id_col, text_col)
@@ -156,8 +175,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
             edge = np.searchsorted(of, np.arange(b.num_rows + 1))
             for i in np.unique(of).tolist():
                 own = slice(edge[i], edge[i + 1])
-                q = w[own] / np.sqrt((w[own] ** 2).sum())
-                near, cosine = m.index.nearest(term[own], q, k)
+                near, cosine = m.index.nearest(term[own], w[own], k)
                 scores[i] = m.vote(near, cosine, trust)
                 evidence[i] = [{"doc_id": int(m.ids[r]), "cosine": float(c)} for r, c in zip(near, cosine)]
             yield batch(doc_id=b.column("doc_id"), h=b.column("h"), score=scores, evidence=pa.array(evidence, pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))))

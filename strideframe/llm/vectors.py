@@ -122,13 +122,11 @@ def document_frequency(docs: DataFrame, vocabulary: np.ndarray, terms: Terms) ->
         at = np.flatnonzero(df)
         yield batch(term=pa.array(np.append(at, -1), pa.int64()), n=pa.array(np.append(df[at], n), pa.int64()))
 
-    df, n = np.zeros(len(vocabulary), np.int64), 0
-    for r in in_batches(docs.select("text"), count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # a row for each term
-        if r.term < 0:
-            n = r.n
-        else:
-            df[r.term] = r.n
-    return n, df
+    df = np.zeros(len(vocabulary), np.int64)
+    got = in_batches(docs.select("text"), count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row for each term
+    term, sums = got["term"].to_numpy(), got["n"].to_numpy()
+    df[term[term >= 0]] = sums[term >= 0]
+    return int(sums[term < 0].sum()), df
 
 
 def fold(id_col: str, parts: int) -> Column:

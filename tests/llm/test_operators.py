@@ -260,3 +260,15 @@ def test_all_trusted_rows_count(spark, docs, labels):
     by = lambda known: {(r.doc_id, r.h): round(r.ratio, 9) for r in loglik.judge(docs, known).collect()}
     want = by(labels)
     assert by(labels.select("doc_id", "quality").union(absent)) == want and len(set(want.values())) > 50
+
+
+def test_near_equal_examples_are_evidence_without_telling_words(spark):
+    text = lambda k: " ".join(f"w{k}x{j}" if j % 2 else f"common{j}" for j in range(60))
+    rows = [(k, text(k)) for k in range(60)]
+    known = spark.createDataFrame([(k, int(k % 10 == 0)) for k in range(60)], "doc_id long, toxic int")
+    learnt = [r.doc_id for r in known.where("toxic = 1").where(toxicity.fold("doc_id", 3) != 1).collect()]
+    copy = text(learnt[0]).replace("common4", "other")
+    frame = spark.createDataFrame([*rows, (1000, copy), (1001, text(1)), (1002, "common0 " + " ".join(f"new{j}" for j in range(3000)))], "doc_id long, text string")
+    found = {r.doc_id: r for r in toxicity.score(frame, known).collect()}
+    assert found[1000].predicted == 1 and found[1000].evidence[0].doc_id == learnt[0] and found[1000].evidence[0].cosine < 1
+    assert found[1001].predicted == 0 and max(e.cosine for e in found[1002].evidence) < 0.1
