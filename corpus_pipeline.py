@@ -24,11 +24,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least document of each group of near copies (five-word shingles, 0.8), a repeated row once."""
+    """The least document (by id and hash of the text) of each group of near copies (five-word shingles, 0.8), once; texts without words stay."""
     found = cut_lineage(odd_sketch.near_duplicates(docs, shingle=5))
-    kept = keep_rows(docs, found.where(~F.col("kept")))
-    repeated = found.where("kept and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    return kept.dropDuplicates(["doc_id", "text"]) if repeated.take(1) else kept
+    # Plain keys, so that equal rows are reduced and joined by one exchange of the texts.
+    key = lambda h: {"_near_id": F.coalesce("doc_id", F.lit(0)).cast("long"), "_near_none": F.col("doc_id").isNull(), "_near_h": h}
+    least = found.where("kept and h = component_h and n_shingles > 0").select(*[c.alias(k) for k, c in key(F.col("h")).items()]).distinct()
+    text = F.col("text").cast("string")
+    worded = F.coalesce(text, F.lit("")).rlike("[^ \\t-\\r]")
+    rows = docs.where(worded).withColumns(key(F.xxhash64(text))).dropDuplicates(least.columns)
+    kept = rows.join(least.hint("shuffle_hash"), least.columns, "left_semi")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).union(docs.where(~worded))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

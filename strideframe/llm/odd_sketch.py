@@ -161,11 +161,12 @@ def _as_nodes(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, h, n_shingles, component_id, kept (doc_id = component_id) of every row.
+    """doc_id, h, n_shingles, component_id, kept (doc_id = component_id), component_h of every row.
 
     Documents are linked when 100 * intersection >= percent * union of their sets of `shingle` words; the band and
     sketch settings are those for 80 percent or more. component_id is the least id reachable, a missing id before all
-    others. Null and empty texts have no set and are linked with nothing. Repeated rows share a result.
+    others; component_h is the h of its least document, so that the two name one document of the group. Null and empty
+    texts have no set and are linked with nothing. Repeated rows share a result.
     """
     if percent < 80:
         raise ValueError("bands and sketches are set for similarities of 80 percent or more")
@@ -222,4 +223,4 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     named = classes.select("n", "s1", "s2", F.col("node").alias("_node")).join(groups, F.col("_node") == F.col("node"), "left").select("n", "s1", "s2", F.coalesce("component", "_node").alias("c"))
     joined = signed.select("doc_id", "h", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
     component = F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("c.doc_id"))
-    return joined.select("doc_id", "h", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return joined.select("doc_id", "h", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.when(F.col("c").isNull(), F.col("h")).otherwise(F.col("c.h")).alias("component_h"))

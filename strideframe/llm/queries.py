@@ -68,7 +68,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return odd_sketch.near_duplicates(table(spark, sf_dir, "documents"), shingle=4).drop("h")
+    return odd_sketch.near_duplicates(table(spark, sf_dir, "documents"), shingle=4).drop("h", "component_h")
 
 
 @query

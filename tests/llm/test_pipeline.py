@@ -39,3 +39,14 @@ def test_empty_table(spark, empty):
     for _, stage in corpus_pipeline.STAGES:
         kept = cut_lineage(stage(spark, kept, SF))
     assert kept.count() == 0
+
+
+def test_one_document_of_each_group_stays(spark):
+    text = lambda k, end: " ".join(f"g{k}w{j}" for j in range(60)) + " " + end
+    rows = [(None, text(1, "one")), (None, text(1, "two")), (5, text(2, "one")), (5, text(2, "two")), (6, text(2, "three")),
+            (7, text(3, "same")), (7, text(3, "same")), (8, ""), (8, ""), (8, None), (8, " \n"), (9, text(4, "alone"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, SF).collect()
+    found = sorted((r.doc_id or 0, (r.text or "").strip().split(" ")[0][:2]) for r in kept)
+    assert found == [(0, "g1"), (5, "g2"), (7, "g3"), (8, ""), (8, ""), (8, ""), (8, ""), (9, "g4")]
+    assert {(r.doc_id, r.text) for r in kept} <= set(rows)
