@@ -79,15 +79,17 @@ def in_vocabulary(vocabulary: np.ndarray, hashes: np.ndarray, first: np.ndarray)
 
 
 def examples(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int, terms: Terms) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray, float]:
-    """Up to `most` labelled documents of each class, chosen by a hash of the id, in order of it.
+    """Up to `most` labelled documents of each class, chosen by a hash of id and text among those that `docs` holds, in order of the id.
 
     Returns ids, term hashes, counts, labels (0 or 1), and the share of label 1 among all rows to learn from. Rows
     without id or label are no examples; of a repeated id the larger label holds; a text is taken once.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1)).groupBy("id").agg(F.max("y").alias("y")).where(learn)
     sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    order = F.xxhash64(F.lit(17), "id")
-    chosen = known.where("y = 0").orderBy(order, "id").limit(most).union(known.where("y = 1").orderBy(order, "id").limit(most))
+    # Keys only: no text moves before its document is chosen.
+    held = docs.select("doc_id", "h").join(known, docs["doc_id"] == known["id"]).groupBy("id", "h").agg(F.max("y").alias("y"))
+    order = [F.xxhash64(F.lit(17), "id", "h"), "id", "h"]
+    chosen = held.where("y = 0").orderBy(*order).limit(most).union(held.where("y = 1").orderBy(*order).limit(most)).select("id", F.col("h").alias("_h"), "y")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
@@ -96,17 +98,11 @@ def examples(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most
             lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (term.view(np.int64), n.astype(np.int32))]
             yield batch(id=b.column("id"), h=b.column("h"), y=b.column("y"), terms=lists[0], n=lists[1])
 
-    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["id"]).select("id", "h", "y", "text")  # 2 * most rows
+    rows = docs.join(F.broadcast(chosen), (docs["doc_id"] == chosen["id"]) & (docs["h"] == chosen["_h"])).select("id", "h", "y", "text").dropDuplicates(["id", "h"])  # 2 * most rows
     got = in_batches(rows, count, "id long, h long, y int, terms array<long>, n array<int>").toArrow().sort_by([("id", "ascending"), ("h", "ascending")])
-    seen, ids, hashes, counts, ys = set(), [], [], [], []
-    for r in range(got.num_rows):
-        key = (got["id"][r].as_py(), got["h"][r].as_py())
-        if key not in seen:
-            seen.add(key)
-            ids.append(key[0])
-            hashes.append(got["terms"][r].values.to_numpy().view(np.uint64))
-            counts.append(got["n"][r].values.to_numpy())
-            ys.append(got["y"][r].as_py())
+    ids, ys = got["id"].to_pylist(), got["y"].to_pylist()
+    hashes = [x.values.to_numpy().view(np.uint64) for x in got["terms"]]
+    counts = [x.values.to_numpy() for x in got["n"]]
     return np.array(ids, np.int64), hashes, counts, np.array(ys, np.int64), sizes.get(1, 0) / max(1, sum(sizes.values()))
 
 

@@ -272,3 +272,15 @@ def test_near_equal_examples_are_evidence_without_telling_words(spark):
     found = {r.doc_id: r for r in toxicity.score(frame, known).collect()}
     assert found[1000].predicted == 1 and found[1000].evidence[0].doc_id == learnt[0] and found[1000].evidence[0].cosine < 1
     assert found[1001].predicted == 0 and max(e.cosine for e in found[1002].evidence) < 0.1
+
+
+def test_examples_are_bounded_after_the_join(spark):
+    from strideframe.llm import vectors
+    from strideframe.llm.frames import keyed
+
+    rows = [(1, f"text {k} of a hot id") for k in range(50)] + [(1, "text 0 of a hot id")] * 20 + [(k, f"text of {k}") for k in range(2, 6)]
+    docs = keyed(spark.createDataFrame(rows, "doc_id long, text string"))
+    known = spark.createDataFrame([(1, 1), *[(k, 0) for k in range(2, 6)], *[(k, 0) for k in range(1000, 1500)]], "doc_id long, toxic int")
+    ids, hashes, counts, y, _ = vectors.examples(docs, known, "toxic", F.lit(True), 10, vectors.word_terms)
+    assert sorted(ids[y == 0]) == [2, 3, 4, 5] and ids[y == 1].tolist() == [1] * 10
+    assert len({tuple(h) for h in hashes}) == len(hashes) == len(counts) == 14
