@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm import chunk_bpe, count_cache, id_files, license_align, loglik, odd_sketch, phrase_index, quality_knn, suffix_dedup, toxicity
+from strideframe.llm import (
+    chunk_bpe, count_cache, cross_align, id_files, license_align, loglik, odd_sketch, phrase_index, quality_knn, source_audit,
+    suffix_dedup, toxicity,
+)
 from strideframe.llm.frames import table
 from strideframe.llm.oracles import ORACLES  # noqa: F401
 from strideframe.session import scratch_path
@@ -74,3 +77,13 @@ def op7_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_license_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_align.summary(license_align.scan(table(spark, sf_dir, "documents")))
+
+
+@query
+def op11_cross_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_align.align_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))

@@ -66,6 +66,19 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             at = end
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of `most` bytes or somewhat more, at least one row each."""
+    held, size = [], 0
+    for b in pieces(batches, most=most):
+        held.append(b)
+        size += b.nbytes
+        if size >= most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _unpacked(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
     open_, texts, size, at = zstandard.ZstdDecompressor().decompress, [], 0, 0
     for i, x in enumerate(batch.column("zip").to_pylist()):
