@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strideframe.llm import (
-    chunk_bpe, count_cache, cross_align, id_files, license_align, loglik, odd_sketch, phrase_index, quality_knn, source_audit,
+    chunk_bpe, count_cache, cross_align, id_files, license_align, loglik, odd_sketch, phrase_index, pii, quality_knn, source_audit,
     suffix_dedup, toxicity,
 )
 from strideframe.llm.frames import table
@@ -87,3 +87,8 @@ def op11_cross_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents")).drop("h")
