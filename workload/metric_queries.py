@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strideframe.functions.draws import FIRST, SECOND, STEP, stream
 from strideframe.operators import bootstrap as boot, metrics as met
 from workload import views as v
 from workload.registry import query, with_views
@@ -231,19 +232,38 @@ def prediction_parity(spark, sf):
     return rounded(met.prediction_parity(p, moved, ["row_key"], 3, 1e-5), "max_probability_gap")
 
 
-ITERATIONS = 40
+ITERATIONS = 200
 
 
-def draw(size, *parts):
-    return "('0x' || substr(md5(" + " || '|' || ".join(parts) + f"), 1, 15))::BIGINT % {size}"
+def child(source: str, state: str, part: str, name: str) -> str:
+    """SQL of the child state `part` of a draw's state, as the library's mixing function gives it."""
+    cut = f"& {2**64 - 1}::UHUGEINT"
+    step = f"SELECT *, ({state} + ({part} + 1)::UHUGEINT * {STEP}::UHUGEINT) {cut} AS x1 FROM {source}"
+    first = f"SELECT *, (xor(x1, x1 >> 30) * {FIRST}::UHUGEINT) {cut} AS x2 FROM ({step})"
+    second = f"SELECT *, (xor(x2, x2 >> 27) * {SECOND}::UHUGEINT) {cut} AS x3 FROM ({first})"
+    return f"(SELECT * EXCLUDE (x1, x2, x3), xor(x3, x3 >> 31) AS {name} FROM ({second}))"
+
+
+def root(salt: str) -> str:
+    return f"{stream(salt)}::UHUGEINT"
+
+
+def place(state: str, size: str) -> str:
+    return f"CAST({state} % {size}::UHUGEINT AS BIGINT)"
+
+
+def cluster_draws() -> str:
+    out = f"(SELECT i, s, size FROM generate_series(0, {ITERATIONS - 1}) AS a(i), (SELECT unit AS s, size FROM units))"
+    for state, part, name in ((root("cluster"), "i", "s1"), ("s1", "0", "s2"), ("s2", "0", "s3"), ("s3", "s", "s4")):
+        out = child(out, state, part, name)
+    return f"SELECT i AS iteration, {place('s4', 'size')} AS unit FROM {out}"
 
 
 CLUSTER_VIEWS = (
     v.PREDICTIONS,
     ("units", "SELECT *, row_number() OVER (ORDER BY md5(participant_id)) - 1 AS unit, count(*) OVER () AS size FROM ("
               + sums_sql("predictions", "participant_id") + ")"),
-    ("draws", f"SELECT i AS iteration, {draw('size', chr(39) + 'cluster' + chr(39), 'i', 's')} AS unit FROM generate_series(0, {ITERATIONS - 1}) AS a(i), "
-              "(SELECT unit AS s, size FROM units)"),
+    ("draws", cluster_draws()),
     ("samples", "SELECT iteration, " + ", ".join(f"sum(n_{i}_{j}) AS n_{i}_{j}" for i in V for j in V) + " FROM draws JOIN units USING (unit) GROUP BY iteration"),
 )
 
@@ -257,55 +277,54 @@ def cluster_bootstrap(spark, sf):
     return rounded(boot.cluster_intervals(samples, L), "lower", "upper")
 
 
-def hierarchy(source: str, salt: str, by: str, iterations: int, names: list[str], cells: str):
-    """SQL of the seed -> participant -> session bootstrap."""
-    q = f"'{salt}'"
-    lead = f"{by}, " if by else ""
-    part = f"PARTITION BY {by}" if by else ""
-    also = lambda a, b: f" AND {a}.{by} = {b}.{by}" if by else ""
-    sel = (lambda t: f"{t}.{by}, ") if by else (lambda t: "")
+def hierarchy(salt: str, by: str, iterations: int, names: list[str], cells: str):
+    """SQL of the seed -> participant -> session bootstrap within each group `by`."""
+    seeds = f"(SELECT {by}, n_seeds, i, s AS ss FROM seeds, generate_series(0, {iterations - 1}) AS a(i))"
+    people = f"(SELECT d.{by}, i, ss, s2, x.seed, x.n_people, k AS ps FROM draw_seeds d JOIN seeds x ON x.s = d.s_pick AND x.{by} = d.{by}, LATERAL (SELECT unnest(range(x.n_people)) AS k))"
+    sessions = (f"(SELECT d.{by}, i, x.seed, x.participant_id, x.n_sessions, s3, k FROM draw_people d JOIN people x ON x.seed = d.seed AND x.p = d.p_pick AND x.{by} = d.{by}, "
+                "LATERAL (SELECT unnest(range(x.n_sessions)) AS k))")
     return (
         ("cells", cells),
-        ("session_units", f"SELECT *, row_number() OVER (PARTITION BY {lead}seed, participant_id ORDER BY md5(session_id)) - 1 AS q FROM cells"),
-        ("people", f"SELECT *, row_number() OVER (PARTITION BY {lead}seed ORDER BY md5(participant_id)) - 1 AS p FROM "
-                   f"(SELECT {lead}seed, participant_id, count(*) AS n_sessions FROM cells GROUP BY ALL)"),
-        ("seeds", f"SELECT *, row_number() OVER ({part} ORDER BY md5(CAST(seed AS VARCHAR))) - 1 AS s, count(*) OVER ({part}) AS n_seeds FROM "
-                  f"(SELECT {lead}seed, count(*) AS n_people FROM people GROUP BY ALL)"),
-        ("draw_seeds", f"SELECT {lead}n_seeds, i, s AS ss, {draw('n_seeds', q, 'i', 's')} AS s_pick FROM seeds, generate_series(0, {iterations - 1}) AS a(i)"),
-        ("draw_people", f"SELECT {sel('d')}i, ss, x.seed, k AS ps, {draw('x.n_people', q, 'i', 'ss', 'k')} AS p_pick FROM draw_seeds d JOIN seeds x ON x.s = d.s_pick{also('x', 'd')}, "
-                        "LATERAL (SELECT unnest(range(x.n_people)) AS k)"),
-        ("draw_sessions", f"SELECT {sel('d')}i, x.seed, x.participant_id, {draw('x.n_sessions', q, 'i', 'ss', 'ps', 'k')} AS q FROM draw_people d "
-                          f"JOIN people x ON x.seed = d.seed AND x.p = d.p_pick{also('x', 'd')}, LATERAL (SELECT unnest(range(x.n_sessions)) AS k)"),
-        ("samples", f"SELECT {sel('d')}i, " + ", ".join(f"sum({n}) AS {n}" for n in names)
-         + f" FROM draw_sessions d JOIN session_units u ON u.seed = d.seed AND u.participant_id = d.participant_id AND u.q = d.q{also('u', 'd')} GROUP BY ALL"),
+        ("session_units", f"SELECT *, row_number() OVER (PARTITION BY {by}, seed, participant_id ORDER BY md5(session_id)) - 1 AS q FROM cells"),
+        ("people", f"SELECT *, row_number() OVER (PARTITION BY {by}, seed ORDER BY md5(participant_id)) - 1 AS p FROM "
+                   f"(SELECT {by}, seed, participant_id, count(*) AS n_sessions FROM cells GROUP BY ALL)"),
+        ("seeds", f"SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY md5(CAST(seed AS VARCHAR))) - 1 AS s, count(*) OVER (PARTITION BY {by}) AS n_seeds FROM "
+                  f"(SELECT {by}, seed, count(*) AS n_people FROM people GROUP BY ALL)"),
+        ("draw_seeds", f"SELECT *, {place('s2', 'n_seeds')} AS s_pick FROM {child(child(seeds, root(salt), 'i', 's1'), 's1', 'ss', 's2')}"),
+        ("draw_people", f"SELECT *, {place('s3', 'n_people')} AS p_pick FROM {child(people, 's2', 'ps', 's3')}"),
+        ("draw_sessions", f"SELECT {by}, i, seed, participant_id, {place('s4', 'n_sessions')} AS q FROM {child(sessions, 's3', 'k', 's4')}"),
+        ("samples", f"SELECT d.{by}, i, " + ", ".join(f"sum({n}) AS {n}" for n in names)
+         + f" FROM draw_sessions d JOIN session_units u ON u.seed = d.seed AND u.participant_id = d.participant_id AND u.q = d.q AND u.{by} = d.{by} GROUP BY ALL"),
     )
 
 
 CELL_NAMES = [f"n_{i}_{j}" for i in V for j in V]
-FEW = 10
 
 
 @query("hierarchical_bootstrap", with_views(" UNION ALL ".join(
-    f"SELECT condition, '{m}' AS metric, round(quantile_cont({metric_sql(m)}, 0.025), 6) AS lower, round(quantile_cont({metric_sql(m)}, 0.975), 6) AS upper, "
-    f"count(*) AS samples FROM samples GROUP BY condition" for m in met.STUDY_METRICS),
-    v.PREDICTIONS, v.STUDY, *hierarchy("study", "curve", "condition", FEW, CELL_NAMES,
-    sums_sql("study_predictions WHERE fraction IN (0, 1)", "condition, seed, participant_id, session_id"))))
+    f"SELECT g.condition, g.fraction, '{m}' AS metric, round(quantile_cont({metric_sql(m)}, 0.025), 6) AS lower, round(quantile_cont({metric_sql(m)}, 0.975), 6) AS upper, "
+    f"count(*) AS samples FROM samples JOIN run_groups AS g USING (g) GROUP BY g.condition, g.fraction" for m in met.STUDY_METRICS),
+    v.PREDICTIONS, v.STUDY, ("run_groups", "SELECT DISTINCT condition, fraction, condition || '|' || fraction AS g FROM study_predictions"),
+    *hierarchy("curve", "g", ITERATIONS, CELL_NAMES,
+    sums_sql("(SELECT *, condition || '|' || fraction AS g FROM study_predictions)", "g, seed, participant_id, session_id"))))
 def hierarchical_bootstrap(spark, sf):
-    full = v.study_predictions(spark, sf).where(F.col("fraction").isin(0.0, 1.0))
-    return rounded(boot.hierarchical_intervals(full, L, ["condition"], FEW, "curve"), "lower", "upper")
+    """Every condition and fraction of the study."""
+    return rounded(boot.hierarchical_intervals(v.study_predictions(spark, sf), L, ["condition", "fraction"], ITERATIONS, "curve"), "lower", "upper")
 
 
 PAIR_NAMES = [f"{x}{n}" for x in ("a_", "b_") for n in CELL_NAMES]
 
 
 @query("paired_bootstrap", with_views(" UNION ALL ".join(
-    f"SELECT '{m}' AS metric, round(quantile_cont({metric_sql(m, 'a_')} - ({metric_sql(m, 'b_')}), 0.025), 6) AS lower, "
-    f"round(quantile_cont({metric_sql(m, 'a_')} - ({metric_sql(m, 'b_')}), 0.975), 6) AS upper, count(*) AS samples FROM samples" for m in met.STUDY_METRICS),
+    f"SELECT fraction, '{m}' AS metric, round(quantile_cont({metric_sql(m, 'a_')} - ({metric_sql(m, 'b_')}), 0.025), 6) AS lower, "
+    f"round(quantile_cont({metric_sql(m, 'a_')} - ({metric_sql(m, 'b_')}), 0.975), 6) AS upper, count(*) AS samples FROM samples GROUP BY fraction" for m in met.STUDY_METRICS),
     v.PREDICTIONS, v.STUDY,
-    ("arm_a", sums_sql("study_predictions WHERE condition = 'pooled' AND fraction = 1", "seed, participant_id, session_id", "a_")),
+    ("arm_a", sums_sql("study_predictions WHERE condition = 'pooled'", "fraction, seed, participant_id, session_id", "a_")),
     ("arm_b", sums_sql("study_predictions WHERE condition = 'source_only'", "seed, participant_id, session_id", "b_")),
-    *hierarchy("study", "paired", "", FEW, PAIR_NAMES, "SELECT * FROM arm_a JOIN arm_b USING (seed, participant_id, session_id)")))
+    *hierarchy("paired", "fraction", ITERATIONS, PAIR_NAMES, "SELECT * FROM arm_a JOIN arm_b USING (seed, participant_id, session_id)")))
 def paired_bootstrap(spark, sf):
+    """Pooled against source-only training at every fraction, on the same draws."""
     study = v.study_predictions(spark, sf)
-    treated = study.where("condition = 'pooled' AND fraction = 1")
-    return rounded(boot.paired_intervals(treated, study.where("condition = 'source_only'"), L, [], FEW, "paired"), "lower", "upper")
+    treated = study.where("condition = 'pooled'")
+    base = study.where("condition = 'source_only'").withColumn("fraction", F.explode(F.array(*[F.lit(float(f)) for f in v.GRID.fractions])))
+    return rounded(boot.paired_intervals(treated, base, L, ["fraction"], ITERATIONS, "paired"), "lower", "upper")
