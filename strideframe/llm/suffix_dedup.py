@@ -1,10 +1,10 @@
 """Removal of repeated passages by suffix groups that share a prefix.
 
 Of each window of `length` words the run of `prefix` words with the least hash is its anchor; equal windows have
-equal anchors at the same place. 1. Anchors found once in the corpus are dropped with their windows. 2. For the
-rest, the stretch of a document that holds the windows of one anchor goes to the group of its prefix: the anchor,
-or all words of a window where the anchor is in too many stretches, so that a group fits into memory. Stretches
-that are equal within a batch go there once. 3. A group orders its suffixes by prefix doubling; a class of equal
+equal anchors at the same place. 1. Anchors found once in the corpus are dropped with their windows, and the bytes of
+the stretches of the others are summed. 2. The stretch of a document that holds the windows of one anchor goes to the
+group of its prefix: the anchor, or all words of a window where the stretches of an anchor have too many bytes, so
+that a group fits into memory at any size of the corpus. Stretches that are equal within a batch go there once. 3. A group orders its suffixes by prefix doubling; a class of equal
 suffixes at depth `length` is an internal node of the suffix tree that deep. All of the node's leaves but the
 first are repeats. 4. A document's repeats give the spans to remove.
 """
@@ -24,8 +24,8 @@ from strideframe.llm.frames import NO_ID, batch, beside, in_batches, keyed, whol
 from strideframe.llm.text import SPACE, Words, inner, mix, pieces, runs, span_cover
 from strideframe.session import cut_lineage
 
-#: Batches that hold an anchor from which on its stretches are split by whole windows.
-CROWDED = 20_000
+#: Bytes of stretches that a group may get. The prefix of a group that would get more is the whole window.
+GROUP_BYTES = 32 << 20
 
 
 def _anchors(w: Words, length: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,36 +98,43 @@ def find_repeats(docs: DataFrame, length: int = 20, prefix: int = 10) -> DataFra
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, most=4 << 20):
             w = Words(b.column("text"), SPACE)
-            h, _, anchor = _anchors(w, length, prefix)
-            anchor = np.unique(anchor)
+            h, starts, at = _anchors(w, length, prefix)
+            edge = np.flatnonzero(np.diff(at, prepend=-1) != 0)
+            anchor, last = at[edge], np.append(edge, len(at))[1:] - 1
             key = h[anchor]
+            size = w.end[starts[last] + length - 1] - w.start[starts[edge]]
             order = np.argsort(key, kind="stable")
             first = np.ones(len(key), bool)
             first[order[1:]] = key[order[1:]] != key[order[:-1]]
             many = np.zeros(len(key), bool)
             same = np.flatnonzero(~first[order])
             many[order[same]] = many[order[same - 1]] = True
+            # The first find of a batch has the bytes of all stretches of its anchor, below 0 if there are others.
+            _, back = np.unique(key, return_inverse=True)
+            total = np.bincount(back, size, len(key))[back].astype(np.int64) if len(key) else size
+            total = np.where(many & ~first, 0, np.where(many, -total, total))
             of = np.searchsorted(w.first, anchor, "right") - 1
             # Further finds of a batch are sure to repeat; they travel by place, so that none gathers them.
             sure = many & ~first
             by = pa.array(of)
-            yield batch(to=np.where(sure, mix(anchor.astype(np.uint64)), key).view(np.int64), a=key.view(np.int64), kind=pa.array((many.astype(np.int8) + sure), pa.int8()), doc_id=b.column("doc_id").take(by), h=b.column("h").take(by), place=pa.array((anchor - w.first[of]).astype(np.int32)))
+            yield batch(to=np.where(sure, mix(anchor.astype(np.uint64)), key).view(np.int64), a=key.view(np.int64), size=pa.array(total, pa.int64()), doc_id=b.column("doc_id").take(by), h=b.column("h").take(by), place=pa.array((anchor - w.first[of]).astype(np.int32)))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         t = pa.Table.from_batches(held)
-        a, kind = t.column("a").to_numpy(), t.column("kind").to_numpy()
-        asked = np.flatnonzero(kind < 2)
+        a, size = t.column("a").to_numpy(), t.column("size").to_numpy()
+        asked = np.flatnonzero(size)
         _, back, count = np.unique(a[asked], return_inverse=True, return_counts=True)
-        n = np.zeros(len(a), np.int64)
+        n, total = np.zeros((2, len(a)), np.int64)
         n[asked] = count[back]
-        keep = np.flatnonzero((kind > 0) | (n > 1))
-        t = t.take(pa.array(keep)).select(["doc_id", "h", "place", "a"]).append_column("crowded", pa.array(n[keep] >= CROWDED))
+        total[asked] = np.bincount(back, np.abs(size[asked])).astype(np.int64)[back] if len(asked) else 0
+        keep = np.flatnonzero((size <= 0) | (n > 1))
+        t = t.take(pa.array(keep)).select(["doc_id", "h", "place", "a"]).append_column("crowded", pa.array(total[keep] > GROUP_BYTES))
         yield from t.combine_chunks().to_batches(max_chunksize=100_000)
 
-    spread = in_batches(docs, ask, "to long, a long, kind byte, doc_id long, h long, place int").repartition("to")
+    spread = in_batches(docs, ask, "to long, a long, size long, doc_id long, h long, place int").repartition("to")
     found = cut_lineage(in_batches(spread, answer, "doc_id long, h long, place int, a long, crowded boolean"))
     # All stretches of a crowded anchor are split, also those that needn't have asked.
     crowded = found.where("crowded").select("a", F.lit(True).alias("split")).distinct()

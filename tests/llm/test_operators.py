@@ -116,9 +116,9 @@ def test_counts_are_stored_once(spark, docs, empty, library):
     assert count_cache.token_counts(empty, BYTE, cache).count() == 0
 
 
-@pytest.mark.parametrize("crowded", [20_000, 2])
-def test_suffix_dedup(docs, empty, known, monkeypatch, crowded):
-    monkeypatch.setattr(suffix_dedup, "CROWDED", crowded)
+@pytest.mark.parametrize("most", [32 << 20, 300])
+def test_suffix_dedup(docs, empty, known, monkeypatch, most):
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", most)
     found, n = by_key(suffix_dedup.remove_repeats(docs), "n_words", "n_removed", "kept_sha256")
     assert n == docs.count() and found == brute.repeats(known)
     assert suffix_dedup.remove_repeats(empty).count() == 0
@@ -209,14 +209,15 @@ def test_index_finds_the_nearest():
     rng = np.random.default_rng(5)
     dense = rng.random((300, 40)) * (rng.random((300, 40)) < 0.1)
     rows, terms = np.nonzero(dense)
-    index = toxicity.BlockMaxIndex.of(rows, terms, dense[rows, terms], 300, 40)
-    for _ in range(50):
-        q = rng.random(40) * (rng.random(40) < 0.2)
-        t = np.flatnonzero(q)
-        got, cosine = index.nearest(t, q[t], 7)
+    index = toxicity.BlockMaxIndex.of(rows, terms, dense[rows, terms], 300, 40, np.arange(300) % 3)
+    texts = [rng.random(40) * (rng.random(40) < 0.2) for _ in range(50)] + [np.zeros(40)]
+    of, t = np.nonzero(np.array(texts))
+    assert 0 < (index.slot >= 0).sum() < 40  # common terms and others
+    for q, (got, cosine) in zip(texts, index.nearest(of, t, np.array(texts)[of, t], len(texts), 7)):
         every = dense @ q
         want = [r for r in np.lexsort((np.arange(300), -np.round(every, 12))) if every[r] > 0][:7]
         assert got.tolist() == want and np.allclose(cosine, every[want])
+    assert index.opened < 51 * len(index.dense[0]) // toxicity.BLOCK
 
 
 @given(a=st.lists(st.integers(0, 6), max_size=25), b=st.lists(st.integers(0, 6), max_size=12))
