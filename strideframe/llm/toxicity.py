@@ -1,8 +1,9 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Terms are all lower-case words of the examples; those whose frequency differs between the two classes beyond chance
-weigh more. The examples stand in an inverted index cut into blocks; with each term's largest weight in a block, blocks that
-can't hold one of the nearest are passed over, and no other way of pruning is used, so neighbours are exact.
+weigh more. The examples stand in an inverted index cut into blocks. A block's bound is the highest score that common
+words give any of its rows, and each other term's largest weight in it; blocks that can't hold one of the nearest are
+passed over, and no other way of pruning is used, so neighbours are exact.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from strideframe.llm.frames import batch, in_batches, keyed
 from strideframe.llm.text import mix, pieces
 from strideframe.llm.vectors import counted, document_frequency, examples, fold, word_terms
 
-#: Labelled rows of each class to learn from; examples of a block.
-EXAMPLES, BLOCK = 3000, 64
+#: Labelled rows of each class to learn from; examples of a block; blocks that are scored first; texts scored together.
+EXAMPLES, BLOCK, LEAD, TEXTS = 3000, 8, 8, 128
+#: A term in at least this part (one in so many) of the examples is common.
+COMMON = 12
 #: How many times more frequent a term is in one class for its full extra weight; the words of a language are weaker than that.
 TIMES = 4.0
 #: Power by which neighbours farther off than the nearest vote less.
@@ -63,13 +66,17 @@ def _spread(offsets: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 @dataclass
 class BlockMaxIndex:
-    """Unit vectors by term and block of rows: entries `first[t]` to `first[t + 1]` are the blocks of term t.
+    """Unit vectors by term and block of rows, similar rows side by side.
 
-    An entry has its `block`, the largest weight `top`, and where its postings `rows`/`weights` begin (`cut`).
+    A term in many rows has its weights in every row (`dense`), so the common words of a batch of texts are one product.
+    Entries `first[t]` to `first[t + 1]` are the blocks of any other term t: an entry has its `block`, the largest weight
+    `top`, and where its postings `places`/`weights` begin (`cut`). `rows` has the row of each place.
     """
 
-    n: int
     rows: np.ndarray
+    slot: np.ndarray
+    dense: np.ndarray
+    places: np.ndarray
     weights: np.ndarray
     first: np.ndarray
     block: np.ndarray
@@ -77,38 +84,66 @@ class BlockMaxIndex:
     cut: np.ndarray
 
     @classmethod
-    def of(cls, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, n_terms: int) -> BlockMaxIndex:
-        order = np.lexsort((rows, terms))
-        rows, terms, weights = rows[order], terms[order], weights[order]
-        entry = terms * -(-n // BLOCK) + rows // BLOCK
+    def of(cls, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, n_terms: int, group: np.ndarray | None = None) -> BlockMaxIndex:
+        """`group`: a number for each row; rows of a group, and in it of the same heaviest term, stand together."""
+        heaviest = np.zeros(n, np.int64)
+        order = np.argsort(weights, kind="stable")
+        heaviest[rows[order]] = terms[order]
+        by = np.lexsort((np.arange(n), heaviest, np.zeros(n) if group is None else group))
+        place_of = np.empty(n, np.int64)
+        place_of[by] = np.arange(n)
+        size = -(-n // BLOCK) * BLOCK
+        many = np.flatnonzero(np.bincount(terms, minlength=n_terms) >= max(2, n / COMMON))
+        slot = np.full(n_terms, -1)
+        slot[many] = np.arange(len(many))
+        own = slot[terms] >= 0
+        dense = np.zeros((len(many), size))
+        dense[slot[terms[own]], place_of[rows[own]]] = weights[own]
+        places, terms, weights = place_of[rows[~own]], terms[~own], weights[~own]
+        order = np.lexsort((places, terms))
+        places, terms, weights = places[order], terms[order], weights[order]
+        entry = terms * (size // BLOCK) + places // BLOCK
         head = np.flatnonzero(np.diff(entry, prepend=-1))
         top = np.maximum.reduceat(weights, head) if len(head) else np.zeros(0)
-        return cls(n, rows, weights, np.searchsorted(terms[head], np.arange(n_terms + 1)), rows[head] // BLOCK, top, np.append(head, len(rows)))
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k rows of the largest dot products above 0, ties by row number."""
-        entry, n = _spread(self.first, terms)
-        weight, block = np.repeat(weights, n), self.block[entry]
-        bound = np.bincount(block, weight * self.top[entry], -(-self.n // BLOCK))
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        score = np.zeros(self.n)
-        self._add(score, order[:4], entry, block, weight)
-        least = np.partition(score, -k)[-k] if self.n >= k else 0.0  # no neighbour is under it
-        self._add(score, order[4:][bound[order[4:]] >= least - 1e-12], entry, block, weight)
-        hit = np.flatnonzero((score > 0) & (score >= least - 1e-12))
-        hit = hit[np.lexsort((hit, -np.round(score[hit], 12)))[:k]]
-        return hit, score[hit]
-
-    def _add(self, score: np.ndarray, blocks: np.ndarray, entry: np.ndarray, block: np.ndarray, weight: np.ndarray) -> None:
-        """Scores of the rows of some blocks."""
-        if not len(blocks):
-            return
-        wanted = np.zeros(-(-self.n // BLOCK), bool)
-        wanted[blocks] = True
+        return cls(by, slot, dense, places, weights, np.searchsorted(terms[head], np.arange(n_terms + 1)), places[head] // BLOCK, top, np.append(head, len(places)))
+
+    def nearest(self, of: np.ndarray, terms: np.ndarray, weights: np.ndarray, m: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each of m texts (`of`, in order) the k rows of the largest dot products above 0, ties by row number."""
+        slot, blocks = self.slot[terms], self.dense.shape[1] // BLOCK
+        texts = np.zeros((m, len(self.dense)))
+        texts[of[slot >= 0], slot[slot >= 0]] = weights[slot >= 0]
+        base = texts @ self.dense
+        highest = base.reshape(m, blocks, BLOCK).max(2, initial=0)
+        of, terms, weights = of[slot < 0], terms[slot < 0], weights[slot < 0]
+        edge, out, self.opened = np.searchsorted(of, np.arange(m + 1)), [], 0
+        for i in range(m):
+            own = slice(edge[i], edge[i + 1])
+            entry, n = _spread(self.first, terms[own])
+            weight, block, score = np.repeat(weights[own], n), self.block[entry], base[i]
+            bound = highest[i] + np.bincount(block, weight * self.top[entry], blocks)
+            # The blocks of the highest bounds give a least score that no neighbour is under; then all that may reach it.
+            lead = np.argpartition(-bound, min(LEAD, blocks) - 1)[:LEAD]
+            wanted = np.zeros(blocks, bool)
+            wanted[lead] = True
+            self._add(score, wanted, entry, block, weight)
+            seen = score.reshape(blocks, BLOCK)[lead].ravel()
+            least = np.partition(seen, -k)[-k] if len(seen) >= k else 0.0
+            more = (bound >= least - 1e-12) & (bound > 0) & ~wanted
+            self._add(score, more, entry, block, weight)
+            wanted |= more
+            self.opened += int(wanted.sum())
+            hit = (np.flatnonzero(wanted)[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            hit = hit[(score[hit] > 0) & (score[hit] >= least - 1e-12)]
+            hit = hit[np.lexsort((self.rows[hit], -np.round(score[hit], 12)))[:k]]
+            out.append((self.rows[hit], score[hit]))
+        return out
+
+    def _add(self, score: np.ndarray, wanted: np.ndarray, entry: np.ndarray, block: np.ndarray, weight: np.ndarray) -> None:
+        """The other terms' part of the scores in some blocks."""
         good = np.flatnonzero(wanted[block])
-        own, n = _spread(self.cut, entry[good])
-        score += np.bincount(self.rows[own], np.repeat(weight[good], n) * self.weights[own], self.n)
+        if len(good):
+            own, n = _spread(self.cut, entry[good])
+            score += np.bincount(self.places[own], np.repeat(weight[good], n) * self.weights[own], len(score))
 
 
 @dataclass
@@ -150,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int
         rows.append(np.full(len(w), i))
         terms.append(at)
         weights.append(w / max(1e-12, np.sqrt((w**2).sum())))
-    index = BlockMaxIndex.of(np.concatenate(rows), np.concatenate(terms), np.concatenate(weights), max(1, len(ids)), len(vocabulary))
+    index = BlockMaxIndex.of(np.concatenate(rows), np.concatenate(terms), np.concatenate(weights), max(1, len(ids)), len(vocabulary), y if len(y) else None)
     share = max(1e-9, float(y.mean())) if len(y) else 1.0
     weight = np.where(y == 1, prior / share, (1 - prior) / max(1e-9, 1 - share)) if len(y) else np.zeros(0)
     return Model(vocabulary, idf, float(np.log(1 + n) + 1), index, ids, y.astype(float), weight / max(1e-9, weight.max(initial=0)), prior)
@@ -172,12 +207,12 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
         for b in pieces(batches):
             of, term, w = m.vectors(*word_terms(b.column("text")))
             scores, evidence = np.full(b.num_rows, m.prior), [[] for _ in range(b.num_rows)]
-            edge = np.searchsorted(of, np.arange(b.num_rows + 1))
-            for i in np.unique(of).tolist():
-                own = slice(edge[i], edge[i + 1])
-                near, cosine = m.index.nearest(term[own], w[own], k)
-                scores[i] = m.vote(near, cosine, trust)
-                evidence[i] = [{"doc_id": int(m.ids[r]), "cosine": float(c)} for r, c in zip(near, cosine)]
+            edge = np.searchsorted(of, np.arange(0, b.num_rows + TEXTS, TEXTS))
+            for start, i, j in zip(range(0, b.num_rows, TEXTS), edge, edge[1:]):
+                size = min(TEXTS, b.num_rows - start)
+                for at, (near, cosine) in enumerate(m.index.nearest(of[i:j] - start, term[i:j], w[i:j], size, k), start):
+                    scores[at] = m.vote(near, cosine, trust) if len(near) else m.prior
+                    evidence[at] = [{"doc_id": x, "cosine": c} for x, c in zip(m.ids[near].tolist(), cosine.tolist())]
             yield batch(doc_id=b.column("doc_id"), h=b.column("h"), score=scores, evidence=pa.array(evidence, pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))))
 
     judged = in_batches(rows, judge, "doc_id long, h long, score double, evidence array<struct<doc_id: long, cosine: double>>")
