@@ -14,8 +14,25 @@ from strideframe.llm.frames import batch, in_batches, keyed
 from strideframe.llm.text import pieces
 from strideframe.llm.vectors import document_frequency, examples, fold, in_vocabulary, shape_terms
 
-#: Labelled rows of each class to learn from; terms and dimensions at most.
-EXAMPLES, TERMS, RANK = 2000, 4096, 64
+#: Labelled rows of each class to learn from; dimensions at most.
+EXAMPLES, RANK = 2000, 64
+
+
+def product(of: np.ndarray, term: np.ndarray, w: np.ndarray, right: np.ndarray, size: int, step: int = 256) -> np.ndarray:
+    """Rows of a sparse matrix (entries ordered by row `of`) times `right`, some rows at a time."""
+    out = np.zeros((size, right.shape[1]), np.float32)
+    edge = np.searchsorted(of, np.arange(0, size + step, step))
+    for a, z in zip(edge.tolist(), edge[1:].tolist()):
+        if z > a:
+            head = np.flatnonzero(np.diff(of[a:z], prepend=-1))
+            out[of[a:z][head]] = np.add.reduceat(right[term[a:z]] * w[a:z, None], head)
+    return out
+
+
+def weighed(of: np.ndarray, term: np.ndarray, n: np.ndarray, idf: np.ndarray, size: int) -> np.ndarray:
+    """Weight of each entry in the row's unit vector."""
+    w = (1 + np.log(n)) * idf[term]
+    return (w / np.sqrt(np.bincount(of, w**2, size))[of]).astype(np.float32)
 
 
 @dataclass
@@ -30,45 +47,34 @@ class Space:
 
     def project(self, of: np.ndarray, term: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
         """Unit vectors of texts; zero for a text without known terms."""
-        w = ((1 + np.log(n)) * self.idf[term]).astype(np.float32)
-        norm = np.sqrt(np.bincount(of, w.astype(float) ** 2, size)).astype(np.float32)
-        out = np.zeros((size, self.basis.shape[1]), np.float32)
-        for at in range(0, size, 64):  # a block of documents at once
-            a, z = np.searchsorted(of, [at, at + 64])
-            dense = np.zeros((min(64, size - at), len(self.vocabulary)), np.float32)
-            dense[of[a:z] - at, term[a:z]] = w[a:z]
-            out[at : at + 64] = dense @ self.basis
-        out /= np.maximum(norm, 1e-12)[:, None]
+        out = product(of, term, weighed(of, term, n, self.idf, size), self.basis, size)
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
-def latent(matrix: np.ndarray, rank: int) -> np.ndarray:
-    """Leading right singular vectors by a randomised range with power steps, from a fixed start."""
-    if not matrix.size:
-        return np.zeros((matrix.shape[1], 0), np.float32)
-    k = min(rank + 10, *matrix.shape)
-    q = np.linalg.qr(matrix @ np.random.default_rng(11).standard_normal((matrix.shape[1], k)).astype(np.float32))[0]
+def latent(of: np.ndarray, term: np.ndarray, w: np.ndarray, rows: int, columns: int, rank: int) -> np.ndarray:
+    """Leading right singular vectors of a sparse matrix by a randomised range with power steps, from a fixed start."""
+    if not len(of):
+        return np.zeros((columns, 0), np.float32)
+    by = np.lexsort((of, term))
+    ahead = lambda x: product(of, term, w, x, rows)
+    back = lambda x: product(term[by], of[by], w[by], x, columns, 4096)
+    k = min(rank + 10, rows, columns)
+    q = np.linalg.qr(ahead(np.random.default_rng(11).standard_normal((columns, k), np.float32)))[0]
     for _ in range(4):
-        q = np.linalg.qr(matrix @ np.linalg.qr(matrix.T @ q)[0])[0]
-    _, s, vt = np.linalg.svd(q.T @ matrix, full_matrices=False)
-    return vt[: min(rank, int((s > 1e-5 * s[0]).sum()))].T.copy()
+        q = np.linalg.qr(ahead(np.linalg.qr(back(q))[0]))[0]
+    u, s, _ = np.linalg.svd(back(q), full_matrices=False)
+    return u[:, : min(rank, int((s > 1e-5 * s[0]).sum()))].copy()
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int = EXAMPLES) -> Space:
-    """Terms are the most frequent of at most `most` examples of each class; document frequencies are those of all documents."""
+    """All terms of at most `most` examples of each class; document frequencies are those of all documents."""
     _, hashes, counts, y, prior = examples(docs, labels, label, learn, most, shape_terms)
-    term, df = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]), return_counts=True)
-    vocabulary = np.sort(term[np.lexsort((term, -df))[:TERMS]])
+    vocabulary, term = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]), return_inverse=True)
     n, df = document_frequency(docs, vocabulary, shape_terms)
-    idf = np.log((1 + n) / (1 + df)) + 1
-    matrix = np.zeros((len(hashes), len(vocabulary)), np.float32)
-    for i, (h, c) in enumerate(zip(hashes, counts)):
-        at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-        ok = vocabulary[at] == h if len(vocabulary) else np.zeros(0, bool)
-        matrix[i, at[ok]] = (1 + np.log(c[ok])) * idf[at[ok]]
-    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
-    basis = latent(matrix, RANK)
-    points = matrix @ basis
+    idf, of = np.log((1 + n) / (1 + df)) + 1, np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
+    w = weighed(of, term, np.concatenate([np.ones(0), *counts]), idf, len(hashes))
+    basis = latent(of, term, w, len(hashes), len(vocabulary), RANK)
+    points = product(of, term, w, basis, len(hashes))
     points /= np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-12)
     share = max(1e-9, float(y.mean())) if len(y) else 1.0
     weight = np.where(y == 1, prior / share, (1 - prior) / max(1e-9, 1 - share))
