@@ -104,7 +104,7 @@ def _features() -> dict[str, Column]:
         "kind": F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")), "digits": left(count("0-9"), 24), "runs": left(F.size(runs), 10),
         "longest": left(F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0)), 20), "last": left(F.coalesce(F.length(F.get(runs, F.size(runs) - 1)), F.lit(0)), 12),
         "letters": left(F.floor(count("A-Za-z") / 3), 8), "dots": left(count("."), 6), "dashes": left(count("-"), 4), "blanks": left(count(" "), 4), "brackets": left(count("()"), 2),
-        "sign": sign, "top": left(F.length(F.regexp_extract(hit, "([A-Za-z]*)$", 1)), 8),
+        "sign": sign, "top": F.length(F.regexp_extract(F.right(hit, F.lit(8)), "([A-Za-z]*)$", 1)),
         "previous": side(F.right(end, F.lit(1))), "next": side(F.left(F.coalesce("after", F.lit("")), F.lit(1))), "cue": cue,
     }
 
