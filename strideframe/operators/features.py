@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from strideframe.config import FeatureConfig, OWN_AGGREGATIONS, SENSOR_AXES
+from strideframe.config import SENSOR_AXES, SPELLINGS, FeatureConfig
 from strideframe.functions.stats import excess_kurtosis, mean_axis_correlation
 from strideframe.functions.scalars import magnitude
 from strideframe.operators import windows as win
@@ -24,7 +24,7 @@ def register(name: str):
         if name in REGISTRY:
             raise ValueError(f"feature {name!r} is already registered")
         REGISTRY[name] = builder
-        OWN_AGGREGATIONS.add(name)
+        SPELLINGS.add(name)
         return builder
     return add
 

@@ -36,7 +36,7 @@ RANGES: dict[str, dict[str, tuple]] = {
         "min_info_gain": ("real", 0, 0.05),
     },
     "mlp": {
-        "hidden_layers": ("choice", ("64", "128", "64_32", "128_64")),
+        "hidden_layers": ("choice", ((64,), (128,), (64, 32), (128, 64))),
         "max_iter": ("whole", 100, 300, 50),
         "tol": ("log", 1e-4, 1e-3),
     },

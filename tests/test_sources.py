@@ -202,7 +202,7 @@ def test_unknown_tag_raises(spark):
         records.decode_tagged(df, "d", ["id"]).collect()
 
 
-@pytest.mark.parametrize("seconds, text", [(0, "00:00:00"), (3155, "00:52:35"), (189300, "52:35:00"), (0.5, "00:00:00"), (1.5, "00:00:02")])
+@pytest.mark.parametrize("seconds, text", [(0, "00:00:00"), (59.4, "00:00:59"), (360061, "100:01:01"), (2.5, "00:00:02"), (3599.5, "01:00:00")])
 def test_clock_text(spark, seconds, text):
     from strideframe.functions.scalars import clock_text
     assert spark.range(1).select(clock_text(F.lit(float(seconds)))).first()[0] == text

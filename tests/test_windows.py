@@ -146,13 +146,12 @@ def test_features_arrive_once_without_a_sequence_column(spark, tmp_path):
 
 def test_own_aggregates_are_known_to_configurations(spark):
     from pyspark.sql import functions as F
-    from strideframe.config import aggregation_name
+    from strideframe.config import SPELLINGS, Spellings
     from strideframe.operators.features import REGISTRY, register
-    with pytest.raises(ValueError, match="unknown aggregation"):
-        aggregation_name("middle value")
+    with pytest.raises(ValueError, match="no aggregation is called"):
+        SPELLINGS[Spellings.words("middle value")]
     register("middle_value")(lambda: F.median("value"))
     try:
-        assert aggregation_name("Middle-Value") == "middle_value"
+        assert SPELLINGS[Spellings.words("Middle-Value")] == "middle_value"
     finally:
-        from strideframe.config import OWN_AGGREGATIONS
-        REGISTRY.pop("middle_value"), OWN_AGGREGATIONS.discard("middle_value")
+        REGISTRY.pop("middle_value"), SPELLINGS.pop(Spellings.words("middle_value"))
