@@ -2,7 +2,8 @@
 
 Texts are cut where a rolling hash of the last bytes says so, so equal stretches of different documents give equal
 chunks. A chunk found more than once is encoded once, by the first document that has it, and its ids go to the
-others; all else is encoded where it stands. A chunk's first and last word may be cut, so only the ids between its
+others; all else is encoded where it stands. Keys find chunks and a digest of the bytes confirms them. Only texts with
+a shared chunk travel; a bitmap of bounded size, which may name some others as well, tells them at the scan. A chunk's first and last word may be cut, so only the ids between its
 first and last white space are kept, and each join is encoded anew from the whole word before it to the whole
 word after it: if these words' ids are not those that are held, the stretch grows, at last to the whole text.
 """
@@ -19,14 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideframe.llm.frames import batch, beside, in_batches, keyed
-from strideframe.llm.text import _OF_BYTE, flat, pieces, runs
+from strideframe.llm.text import _OF_BYTE, flat, pieces, runs, span_hashes
 from strideframe.llm.tokens import codec, decimals
 from strideframe.session import cut_lineage
 
-#: Bytes that a cut depends on; a cut comes every 2 ** CUT_BITS bytes on average.
-WINDOW, CUT_BITS = 32, 12
+#: Bytes that a cut depends on; a cut comes every 2 ** CUT_BITS bytes on average; chunks of fewer than LEAST bytes are not worth their row.
+WINDOW, CUT_BITS, LEAST = 32, 8, 64
+#: Bits of the bitmap of texts, kept in words of 64: 8 MB at most, whatever the table. When most are set, more texts travel.
+BITS = 1 << 25
 _GAPS = b" \t\n\r\x0b\x0c"
-CHUNK = "start int, end int, digest binary"
+CHUNK = "start int, end int, key long"
 
 
 def chunk_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,9 +49,13 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in pieces(batches):
         data, offsets = flat(b.column("text"))
         start, end, of = chunk_bounds(data, offsets)
-        raw = data.tobytes()
-        digests = [hashlib.blake2b(raw[s:e], digest_size=16).digest() for s, e in zip(start.tolist(), end.tolist())]
-        yield batch(doc_id=b.column("doc_id").take(pa.array(of)), h=b.column("h").take(pa.array(of)), start=pa.array((start - offsets[of]).astype(np.int32)), end=pa.array((end - offsets[of]).astype(np.int32)), digest=pa.array(digests, pa.binary()))
+        keep = np.flatnonzero(end - start >= LEAST)
+        key, of, at = span_hashes(data, start, end)[keep].view(np.int64), of[keep], offsets[of[keep]]
+        yield batch(doc_id=b.column("doc_id").take(pa.array(of)), h=b.column("h").take(pa.array(of)), start=pa.array((start[keep] - at).astype(np.int32)), end=pa.array((end[keep] - at).astype(np.int32)), key=key)
+
+
+def _digest(chunk: bytes) -> bytes:
+    return hashlib.blake2b(chunk, digest_size=16).digest()
 
 
 def _core(chunk: bytes) -> tuple[int, int]:
@@ -124,29 +131,38 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     """doc_id, h, n_tokens, ids (binary, little-endian integers of the codec's width) of every row; null texts are empty.
 
     An empty text has no ids. Equal rows are encoded from the same chunks and all returned. Files of a kind whose
-    words don't stand for themselves, and texts with the string of an added token, are encoded as a whole.
+    words don't stand for themselves, and texts with the string of an added token, are encoded as a whole. A text of any
+    length is cut into chunks, but held whole by its task; an empty table gives no rows; further columns are left out.
     """
     rows = keyed(docs, id_col, text_col)
     found = cut_lineage(in_batches(rows, _chunks, f"doc_id long, h long, {CHUNK}"))
     place = F.struct("doc_id", "h", "start", "end")
-    shared = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("owner")).where("n > 1")
-    own = shared.select("owner.*", "digest").groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "end", "digest")).alias("parts"))
+    shared = cut_lineage(found.groupBy("key").agg(F.count("*").alias("n"), F.min(place).alias("owner")).where("n > 1").drop("n"))
+    spots = cut_lineage(found.join(shared.select("key"), "key"))
+    own = shared.select("owner.*", "key").groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "end", "key")).alias("parts"))
+    slot = F.pmod(F.xxhash64("doc_id", "h"), F.lit(BITS))
+    words = spots.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits"))
+    told = rows.withColumn("slot", slot).withColumn("word", F.expr("slot div 64")).join(F.broadcast(words), "word", "left")
+    named = F.expr("coalesce(shiftright(bits, cast(slot % 64 as int)) & 1, 0) = 1")
+    travel, stay = (told.where(c).select("doc_id", "h", "text") for c in (named, ~named))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, close = codec(tokenizer), zstandard.ZstdCompressor(level=3).compress
         for b in pieces(batches):
-            digests, cores = [], []
+            keys, digests, cores = [], [], []
             for text, parts in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("parts").to_pylist()):
                 for p in parts:
-                    a, z = _core(text[p["start"] : p["end"]])
-                    digests.append(p["digest"])
-                    cores.append(text[p["start"] + a : p["start"] + z].decode() if a >= 0 else "")
+                    chunk = text[p["start"] : p["end"]]
+                    a, z = _core(chunk)
+                    keys.append(p["key"])
+                    digests.append(_digest(chunk))
+                    cores.append(chunk[a:z].decode() if a >= 0 else "")
             ids, at = c.encode(pa.array(cores, pa.string()))
             raw, at = ids.tobytes(), at * c.width.itemsize
-            yield batch(digest=pa.array(digests, pa.binary()), ids=pa.array([close(raw[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary()))
+            yield batch(key=pa.array(keys, pa.int64()), digest=pa.array(digests, pa.binary()), ids=pa.array([close(raw[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary()))
 
-    cores = in_batches(beside(rows, own, "inner"), first, "digest binary, ids binary").groupBy("digest").agg(F.first("ids").alias("ids"))
-    parts = found.join(cores, "digest").groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "end", "ids")).alias("parts"))
+    cores = in_batches(beside(travel, own, "inner"), first, "key long, digest binary, ids binary").dropDuplicates(["key"])
+    parts = spots.join(cores, "key").groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "end", "digest", "ids")).alias("parts"))
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, open_ = codec(tokenizer), zstandard.ZstdDecompressor().decompress
@@ -162,12 +178,22 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 ids[i] = raw[s:e]
             joined = np.flatnonzero(~alone)
             pick = pa.array(joined)
-            held = [{(p["start"], p["end"]): np.frombuffer(open_(p["ids"]), c.width) for p in ps} for ps in parts.take(pick).to_pylist()]
-            for i, x in zip(joined.tolist(), assemble(c, b.column("text").take(pick).cast(pa.binary()).to_pylist(), held)):
+            texts, held = b.column("text").take(pick).cast(pa.binary()).to_pylist(), []
+            for text, ps in zip(texts, parts.take(pick).to_pylist()):
+                held.append({(p["start"], p["end"]): np.frombuffer(open_(p["ids"]), c.width) for p in ps if _digest(text[p["start"] : p["end"]]) == p["digest"]})
+            for i, x in zip(joined.tolist(), assemble(c, texts, held)):
                 ids[i] = x.tobytes()
             yield batch(doc_id=b.column("doc_id"), h=b.column("h"), n_tokens=pa.array([len(x) // size for x in ids], pa.int64()), ids=pa.array(ids, pa.binary()))
 
-    return in_batches(beside(rows, parts), rest, "doc_id long, h long, n_tokens long, ids binary")
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(tokenizer)
+        for b in pieces(batches):
+            ids, at = c.encode(b.column("text"))
+            raw, ends = ids.tobytes(), (at * c.width.itemsize).tolist()
+            yield batch(doc_id=b.column("doc_id"), h=b.column("h"), n_tokens=pa.array(np.diff(at), pa.int64()), ids=pa.array([raw[i:j] for i, j in zip(ends, ends[1:])], pa.binary()))
+
+    result = "doc_id long, h long, n_tokens long, ids binary"
+    return in_batches(beside(travel, parts), rest, result).unionByName(in_batches(stay, alone, result))
 
 
 def decode(encoded: DataFrame, tokenizer: str, digests: bool = False) -> DataFrame:
