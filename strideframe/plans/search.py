@@ -11,7 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from strideframe.operators.metrics import Sums, confusion_sums
-from strideframe.operators.models import Classifier, fit_classifier, predict_frame
+from strideframe.operators import boosting
+from strideframe.operators.models import Classifier, boosted_settings, fit_classifier, predict_frame
 from strideframe.operators.splits import stratified_group_kfold
 from strideframe.operators.weights import balanced_rows, training_weights
 from strideframe.plans.jobs import side_by_side
@@ -30,10 +31,12 @@ RANGES: dict[str, dict[str, tuple]] = {
         "n_estimators": ("whole", 200, 1200, 100),
         "learning_rate": ("log", 0.02, 0.2),
         "max_depth": ("whole", 3, 8, 1),
-        "min_samples_leaf": ("whole", 1, 10, 1),
+        "min_child_weight": ("real", 1, 10),
         "subsample": ("real", 0.6, 1.0),
-        "max_features": ("real", 0.5, 1.0),
-        "min_info_gain": ("real", 0, 0.05),
+        "colsample": ("real", 0.5, 1.0),
+        "gamma": ("real", 0, 5),
+        "reg_alpha": ("real", 0, 2),
+        "reg_lambda": ("real", 0.5, 10),
     },
     "mlp": {
         "hidden_layers": ("choice", ((64,), (128,), (64, 32), (128, 64))),
@@ -118,9 +121,12 @@ def grouped_search(rows: DataFrame, settings: Sequence[Mapping[str, object]], ru
                    always: DataFrame | None = None) -> DataFrame:
     """Score of each setting: fit on all folds but one (plus `always`), predict the one, pool, measure.
 
-    `rows` carries `fold`. The fits of all settings and folds share a bounded pool of jobs; per
-    setting one aggregate over its pooled predictions reaches the driver.
+    `rows` carries `fold`. Boosted trees of all settings and folds, with classes weighed evenly, grow together in one
+    pass (`boosted_search`). Other fits share a bounded pool of jobs; per setting one aggregate over its pooled
+    predictions reaches the driver.
     """
+    if {s["family"] for s in settings} == {"boosted_trees"} and (rules.weighting, rules.balancing) == ("class_balanced", "none"):
+        return boosted_search(rows, settings, rules, always)
     numbers = sorted(r[0] for r in rows.select("fold").distinct().limit(1001).collect())
     if not 2 <= len(numbers) <= 1000:
         raise ValueError("a grouped search needs between two and a thousand folds")
@@ -143,6 +149,44 @@ def grouped_search(rows: DataFrame, settings: Sequence[Mapping[str, object]], ru
     return rows.sparkSession.createDataFrame(table, "trial int, family string, params string, score double")
 
 
+def boosted_search(rows: DataFrame, settings: Sequence[Mapping[str, object]], rules: TrainingRules,
+                   always: DataFrame | None = None) -> DataFrame:
+    """The same for boosted trees: every (setting, fold) is a model of one pass, so jobs follow from rounds and depth alone.
+
+    Missing values need no imputation: they go to the right of a split. Classes are weighed evenly by the counts of each
+    model's own training rows, which reach the driver (folds x classes).
+    """
+    values = list(rules.labels.values())
+    names = [f"_x{i}" for i in range(len(rules.columns))]
+    place = F.array_position(F.array(*[F.lit(v).cast("bigint") for v in values]), F.col("label").cast("bigint")) - 1
+    pick = lambda df, fold: df.select(place.cast("double").alias("_index"), F.lit(1.0).alias("_weight"), fold.cast("int").alias("_fold"),
+                                      *[F.col(f"`{c}`").cast("double").alias(n) for c, n in zip(rules.columns, names)])
+    table = pick(rows, F.col("fold"))
+    if always is not None:
+        table = table.unionByName(pick(always, F.lit(None)))
+    table = cut_lineage(table)
+    counts = {(r["_fold"], int(r["_index"])): r["n"] for r in table.groupBy("_fold", "_index").agg(F.count("*").alias("n")).collect()}
+    folds = sorted({f for f, _ in counts if f is not None})
+    if len(folds) < 2:
+        raise ValueError("a grouped search needs two folds or more")
+
+    def factors(fold: int) -> tuple[float, ...]:
+        own = [sum(n for (f, k), n in counts.items() if f != fold and k == c) for c in range(len(values))]
+        return tuple(sum(own) / (sum(n > 0 for n in own) * n) if n else 0.0 for n in own)
+
+    jobs = [(t, f) for t in range(len(settings)) for f in folds]
+    models = [boosting.Model(boosted_settings(settings[t]), rules.seed, f, factors(f)) for t, f in jobs]
+    cuts = boosting.fit_many(table, names, len(values), models)
+    found = boosting.out_of_fold(table, names, len(values), models, cuts)
+    value = F.array(*[F.lit(v).cast("bigint") for v in values])
+    pooled = found.select(F.floor(F.col("model") / len(folds)).cast("int").alias("trial"), F.get(value, F.col("place")).alias("label"),
+                          F.get(value, F.col("predicted")).alias("prediction"), "n")
+    sums = pooled.groupBy("trial").agg(*Sums(rules.labels).aggregates(F.col("n")))
+    facts = rows.sparkSession.createDataFrame([(n, str(s["family"]), json.dumps(dict(s), sort_keys=True)) for n, s in enumerate(settings)],
+                                              "trial int, family string, params string")
+    return facts.join(sums.select("trial", Sums(rules.labels).metric(rules.metric).alias("score")), "trial")
+
+
 def best_setting(scored: DataFrame) -> tuple[dict, float]:
     """Highest score, the earliest trial on ties."""
     row = scored.agg(F.min_by(F.struct("params", "score"), F.struct((-F.col("score")).alias("s"), "trial")).alias("b")).first()["b"]
