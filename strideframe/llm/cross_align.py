@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +26,8 @@ from strideframe.llm.text import flat, gather, gathered, mix, span_hashes
 from strideframe.llm.tokens import Codec
 from strideframe.session import cut_lineage
 
-#: Bytes of text aligned at a time (at least one text), and windows that a worker remembers.
-BYTES, MEMORY = 4 << 20, 300_000
+#: Bytes of text aligned at a time (at least one text); windows, and stretches of each tokenizer, that a worker remembers.
+BYTES, MEMORY = 2 << 20, 100_000
 #: A pair of ids is one number: that of the first tokenizer times this, and that of the second.
 SHIFT = 1 << 32
 STAGE = (
@@ -40,6 +40,8 @@ RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best l
 class ByteTokens(Codec):
     """A byte-level tokenizer; strings of special tokens inside a text are plain text."""
 
+    memory = MEMORY
+
     def __init__(self, path: str):
         super().__init__(path)
         self.library.encode_special_tokens = True
@@ -54,21 +56,41 @@ class ByteTokens(Codec):
         return [bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode() for t in tokens]
 
 
-class PieceTokens:
-    """A sentencepiece model, which puts a space before the text itself."""
+class PieceTokens(Codec):
+    """A sentencepiece model, which puts a space before the text itself; texts come with that space.
 
-    def __init__(self, path: str):
-        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+    No piece goes on from another character to a space, so the stretches from a space after another character to the
+    next one are encoded each on its own, the distinct ones once.
+    """
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        lists = self.library.encode(texts, num_threads=1)
-        ends = np.zeros(len(lists) + 1, np.int64)
-        np.cumsum([len(x) for x in lists], out=ends[1:])
-        return np.fromiter(chain.from_iterable(lists), np.uint32, int(ends[-1])), ends
+    memory = MEMORY
+
+    def __init__(self, path: str):
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.library, self.memo, self.older = self, {}, {}
+        self.width, size = np.dtype("<u4"), self.model.get_piece_size()
+        self.apart = not any("▁" in self.model.id_to_piece(i).lstrip("▁") for i in range(size))
+
+    def _whole(self, column: pa.Array) -> np.ndarray:
+        return np.zeros(len(column), bool)
+
+    def _units(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        data, offsets = flat(column)
+        cut = np.zeros(len(data) + 1, bool)
+        if self.apart:
+            cut[1:-1] = (data[1:] == 0x20) & (data[:-1] != 0x20)
+        cut[offsets] = True
+        start = np.flatnonzero(cut[:-1])
+        return data, start, np.append(start[1:], len(data))[: len(start)], np.searchsorted(start, offsets)
+
+    def encode_batch_fast(self, texts: list[str], add_special_tokens: bool = False) -> list[SimpleNamespace]:
+        # The model takes an empty text as nothing, but a blank at the end of a text is a piece.
+        blank = [self.model.piece_to_id("▁")]
+        return [SimpleNamespace(ids=x or blank) for x in self.model.encode([t[1:] for t in texts], num_threads=1)]
 
     @property
     def pieces(self) -> list[bytes]:
-        of = self.library
+        of = self.model
         return [bytes([int(of.id_to_piece(i)[3:5], 16)]) if of.is_byte(i) else of.id_to_piece(i).replace("▁", " ").encode() for i in range(of.get_piece_size())]
 
 
@@ -119,7 +141,7 @@ class Aligner:
         spaced = pa.array([" " + t if t else "" for t in texts.to_pylist()], pa.string())
         data, at = flat(spaced)
         sizes = np.diff(at)
-        both = [self.a.encode(spaced), self.b.encode([t[1:] for t in spaced.to_pylist()])]
+        both = [self.a.encode(spaced), self.b.encode(spaced)]
         both = [(ids.astype(np.uint32), ends) for ids, ends in both]
         ok = sizes > 0
         for side, (ids, ends) in zip(self.sides, both):

@@ -41,6 +41,8 @@ def _after_letters(data: np.ndarray) -> np.ndarray:
 
 
 class Codec:
+    memory = MEMORY
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.library = Tokenizer.from_file(path)
@@ -111,7 +113,7 @@ class Codec:
         held = list(map(memo.get, units))
         if None in held:
             fresh = [u for u, x in zip(units, held) if x is None]
-            if len(memo) + len(fresh) > MEMORY:
+            if len(memo) + len(fresh) > self.memory:
                 self.older, self.memo = memo, {}
                 memo, fresh = self.memo, units
             if self.older:

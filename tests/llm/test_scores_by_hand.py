@@ -60,7 +60,7 @@ def test_telling_words_weigh_more():
     hashes = [np.sort(np.concatenate([every, np.array([100 + i], np.uint64), *([rare] if i < 40 else [common])])) for i in range(80)]
     term, factor = toxicity.weighted_terms(hashes, np.array([1] * 40 + [0] * 40))
     of = dict(zip(term.tolist(), factor.tolist()))
-    assert of[1] == pytest.approx(1) and of[2] > 1.5 and of[3] > 1.5 and of[100] < of[2]
+    assert of[1] == pytest.approx(1) and of[2] > 1.5 and of[3] > 1.5 and of[2] >= max(of[100 + i] for i in range(80))
 
 
 def test_quality_by_hand(spark):
