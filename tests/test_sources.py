@@ -65,9 +65,41 @@ def test_tagged_values_are_kept_at_any_depth(spark):
         "m.s": ("SS", None, None, None, None, ["a", "b"]), "m.deep.n": ("N", None, None, 1.5, None, None),
         "m.deep.l": ("L", None, None, None, None, ["x", None]), "m.deep.l.1.k": ("BOOL", None, None, None, True, None),
         "l": ("L", None, None, None, None, ["1", None, None]), "l.1": ("L", None, None, None, None, ["y"])}
-    for bad in ({"m": {"M": {"x": {"Q": "1"}}}}, {"m": {"M": {"m": {"M": {"m": {"M": {"m": {"S": "1"}}}}}}}}):
-        with pytest.raises(Exception, match="unsupported tag|more than 2 levels"):
-            records.decode_tagged(spark.createDataFrame([(1, json.dumps(bad))], "id long, d string"), "d", ["id"], depth=2).collect()
+    with pytest.raises(Exception, match="unsupported tag"):
+        records.decode_tagged(spark.createDataFrame([(1, json.dumps({"m": {"M": {"x": {"Q": "1"}}}}))], "id long, d string"), "d", ["id"]).collect()
+    deep = {"S": "end"}
+    for k in range(25):
+        deep = {"L": [deep]} if k % 5 == 4 else {"M": {"k": deep}}
+    frame = records.decode_tagged(spark.createDataFrame([(1, json.dumps({"a": deep})), (2, json.dumps({"b": {"S": "x"}}))], "id long, d string"), "d", ["id"])
+    found = {r.attribute: (r.id, r.text) for r in frame.where("kind = 'S'").collect()}
+    assert len(found) == 2 and found["b"] == (2, "x") and max(a.count(".") for a in found) == 25
+    assert sorted(v[1] for v in found.values()) == ["end", "x"]
+
+
+def test_drains_read_every_key_once(spark, tmp_path, monkeypatch):
+    from strideframe import sinks
+    make = lambda n: spark.createDataFrame([(f"s{k}", f"k{k // 2:03d}", "in" if k % 3 else "out") for k in range(n)] + [("none", None, "in")], "session_id string, sync_key string, sync_partition string")
+    path = str(tmp_path / "t")
+    assert records.drain_keys(make(0), "in", path) == 0
+    assert records.drain_keys(make(20), "in", path, 5) == 3
+    want = lambda n: sorted(f"s{k}" for k in range(n) if k % 3)
+    held = lambda: sorted(r.session_id for r in sinks.read_appended(spark, path).collect())
+    assert held() == want(20)
+    # A drain that dies between reading and publishing loses nothing and repeats nothing.
+    system = sinks._file_system
+    monkeypatch.setattr(sinks, "_file_system", lambda s, p: (_ for _ in ()).throw(OSError("lost")) if "/_published/" in p else system(s, p))
+    with pytest.raises(OSError):
+        records.drain_keys(make(40), "in", path, 100)
+    monkeypatch.setattr(sinks, "_file_system", system)
+    assert held() == want(20)
+    assert records.drain_keys(make(40), "in", path, 100) == 1 and held() == want(40)
+    assert records.drain_keys(make(40), "in", path, 100) == 0
+
+
+def test_exports_without_rows_keep_their_header(spark, tmp_path):
+    from strideframe import sinks
+    sinks.write_delimited(spark.createDataFrame([], "a int, b string"), str(tmp_path / "x"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "x")).columns == ["a", "b"]
 
 
 def test_appends_are_all_or_nothing(spark, tmp_path):

@@ -470,6 +470,29 @@ def incremental_key_scan(spark, sf):
     return records.incremental_key_scan(rows, "received", "1996").select("session_id", "sync_key")
 
 
+@query("keyed_drain", with_views("""
+SELECT session_id, sync_key, 'received' AS sync_partition FROM sidecars WHERE status = 'received' AND sync_key IS NOT NULL""", v.SIDECARS))
+def keyed_drain(spark, sf):
+    """Two drains, the second after more records have come: every key is read once."""
+    path, rows = scratch_path(spark, "drained"), v.sidecars(spark, sf).withColumnRenamed("status", "sync_partition").select("session_id", "sync_key", "sync_partition")
+    records.drain_keys(rows.where("sync_key < '1996'"), "received", path, 20_000)
+    records.drain_keys(rows, "received", path, 20_000)
+    return sinks.read_appended(spark, path)
+
+
+@query("delimited_export", with_views("""
+SELECT 'full' AS export, domain, CAST(count(*) AS VARCHAR) AS rows FROM sensor_events GROUP BY domain""", v.SENSOR_EVENTS))
+def delimited_export(spark, sf):
+    """Two exports read back with their headers; the second has no rows, and still its columns."""
+    path = scratch_path(spark, "exports")
+    table = v.sensor_events(spark, sf).groupBy("domain").agg(F.count("*").alias("rows"))
+    parts = []
+    for name, rows in (("full", table), ("none", table.where("rows < 0"))):
+        sinks.write_delimited(rows, f"{path}/{name}")
+        parts.append(spark.read.option("header", True).schema("domain string, rows string").option("enforceSchema", False).csv(f"{path}/{name}").withColumn("export", F.lit(name)))
+    return parts[0].unionByName(parts[1])
+
+
 @query("decode_tagged", """
 SELECT o_orderkey AS item, * FROM (SELECT o_orderkey, unnest([
   {'attribute': 'priority', 'kind': 'S', 'text': o_orderpriority, 'whole': NULL::BIGINT, 'real': NULL::DOUBLE, 'flag': NULL::BOOLEAN, 'items': NULL::VARCHAR},
@@ -483,6 +506,7 @@ SELECT o_orderkey AS item, * FROM (SELECT o_orderkey, unnest([
   {'attribute': 'map.deep.key', 'kind': 'N', 'text': NULL, 'whole': o_orderkey, 'real': NULL, 'flag': NULL, 'items': NULL},
   {'attribute': 'map.set', 'kind': 'SS', 'text': NULL, 'whole': NULL, 'real': NULL, 'flag': NULL, 'items': 'p/q'},
   {'attribute': 'mixed', 'kind': 'L', 'text': NULL, 'whole': NULL, 'real': NULL, 'flag': NULL, 'items': 'z'},
+  {'attribute': 'far' || repeat('.in', 20), 'kind': 'S', 'text': o_orderstatus, 'whole': NULL, 'real': NULL, 'flag': NULL, 'items': NULL},
   {'attribute': 'mixed.1.half', 'kind': 'N', 'text': NULL, 'whole': NULL, 'real': 0.5, 'flag': NULL, 'items': NULL}], recursive := true) FROM orders)
 """.replace("SELECT o_orderkey AS item, * FROM", "SELECT o_orderkey AS item, * EXCLUDE (o_orderkey) FROM"))
 def decode_tagged(spark, sf):
@@ -494,7 +518,8 @@ def decode_tagged(spark, sf):
         F.lit('},"none":{"NULL":true},"list":{"L":[{"S":"x"},'), one("N", cust), F.lit(']},"numbers":{"NS":["'), cust,
         F.lit('","7"]},"map":{"M":{"status":'), one("S", F.col("o_orderstatus")),
         F.lit(',"deep":{"M":{"key":'), one("N", F.col("o_orderkey").cast("string")),
-        F.lit('}},"set":{"SS":["p","q"]}}},"mixed":{"L":[{"S":"z"},{"M":{"half":{"N":"0.5"}}}]}}'))
+        F.lit('}},"set":{"SS":["p","q"]}}},"mixed":{"L":[{"S":"z"},{"M":{"half":{"N":"0.5"}}}]},"far":' + '{"M":{"in":' * 20),
+        one("S", F.col("o_orderstatus")), F.lit("}}" * 20 + "}"))
     rows = v.table(spark, sf, "orders").select(F.col("o_orderkey").alias("item"), item.alias("document"))
     return records.decode_tagged(rows, "document", ["item"]).withColumn("items", F.array_join("items", "/"))
 

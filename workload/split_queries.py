@@ -128,6 +128,16 @@ def study_grid(spark, sf):
     return sp.study_grid(v.predictions(spark, sf).select("seed"), StudyGrid())
 
 
+@query("limited_grid", with_views("""
+SELECT condition, fraction, seed FROM study_grid ORDER BY seed, condition <> 'source_only', condition, fraction LIMIT 7""", v.PREDICTIONS, GRID_SQL))
+def limited_grid(spark, sf):
+    """The first seven runs of the ordered grid over the seeds that occur in the predictions."""
+    from strideframe.config import StudyGrid
+    from strideframe.plans.study import grid_runs
+    seeds = tuple(sorted(r[0] for r in v.predictions(spark, sf).select("seed").distinct().collect()))
+    return spark.createDataFrame(grid_runs(StudyGrid(seeds=seeds), 7), "condition string, fraction double, seed int")
+
+
 @query("grid_completeness", with_views("""
 SELECT CAST(33 AS BIGINT) AS expected_runs, (SELECT count(*) FROM study_runs) AS observed_runs,
   (SELECT count(*) FROM study_grid WHERE run_name NOT IN (SELECT run_name FROM study_runs)) AS missing_runs,
