@@ -29,6 +29,8 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, limit: int = 512,
     count for this version are encoded, each distinct text once. The content is normalised to its UTF-8 bytes,
     null to the empty text; anything coarser could change a count. Rows keep their number, repeated ones too.
     Counts that two runs have both appended are equal and read once.
+    A text of any length is taken whole, in a batch of its own in one task; an empty table gives no rows; further columns, whatever their
+    names, are left out.
     """
     spark, version = docs.sparkSession, version_of(tokenizer)
     rows = keyed(docs, id_col, text_col).withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))

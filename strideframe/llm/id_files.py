@@ -90,6 +90,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2
 
     Documents come in ascending order of `id_col` (a long), those without one first, ties by a hash of the text.
     A block ends with the document that reaches `block_ids`. An empty table makes a folder without blocks.
+    A text of any length is one document of one block; repeated rows are as many documents; further columns are left out.
     """
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, shard = codec(tokenizer), TaskContext.get().partitionId()

@@ -196,6 +196,8 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float =
     Words are lower-case runs of letters, digits and non-ASCII characters. Null and empty texts have no notices; of
     notices that overlap the best is given. Templates without words are left out; a name ends at a #, so that
     a license may have several.
+    A text of any length is taken whole, in a batch of its own in one task; an empty table gives no rows; further columns, whatever their
+    names, are left out.
     """
     names = sorted(templates)
     w = Words(pa.array([templates[n] for n in names], pa.string()), NOT_ALNUM, lower=True)

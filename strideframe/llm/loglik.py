@@ -118,6 +118,8 @@ def judge(docs: DataFrame, labels: DataFrame, label: str = "quality", least: flo
 
     `ratio` is the sum of the n-grams' log ratios over their number, 0 without any. A row is kept unless
     base_failed or its ratio is under `least`. Null and empty texts have no words, and so fail.
+    A text of any length is taken whole, in a batch of its own in one task; an empty table gives no rows; further columns, whatever their
+    names, are left out.
     """
     rows = keyed(docs, id_col, text_col)
     held = docs.sparkSession.sparkContext.broadcast(ratios(rows, labels, label))

@@ -167,6 +167,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     sketch settings are those for 80 percent or more. component_id is the least id reachable, a missing id before all
     others; component_h is the h of its least document, so that the two name one document of the group. Null and empty
     texts have no set and are linked with nothing. Repeated rows share a result.
+    A text of any length gives its whole set, in one task; an empty table gives no rows; further columns are left out.
     """
     if percent < 80:
         raise ValueError("bands and sketches are set for similarities of 80 percent or more")

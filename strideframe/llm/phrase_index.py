@@ -147,6 +147,7 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, n: int = 10, slop: int =
     words follow one another; with more, where each stands within `slop` words of its place (proximity). A
     document word inside an occurrence is hit. Null and empty texts have no words; items without words or id
     have no windows; equal items count one by one, equal rows are all returned.
+    A text of any length is taken whole, in one task; an empty table gives no rows; further columns are left out.
     """
     items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{text_col}`").cast("string").alias("text")).where("item is not null and text is not null")
     passes = 1 + (items.agg(F.sum(F.length("text"))).first()[0] or 0) // (2 * PASS_WORDS)

@@ -86,6 +86,8 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
 
     The vote of a neighbour has the weight cosine ** 8 times the rows that the example stands for. A text without
     known terms, such as an empty or null one, gets the share of label 1; without labels all scores are 0.
+    A text of any length is taken whole, in a batch of its own in one task; an empty table gives no rows; further columns, whatever their
+    names, are left out.
     """
     rows = keyed(docs, id_col, text_col)
     held = docs.sparkSession.sparkContext.broadcast(fit(rows, labels, label, fold("id", folds) != out_fold))

@@ -213,6 +213,8 @@ def remove_repeats(docs: DataFrame, length: int = 20, prefix: int = 10, with_tex
 
     Words are runs of characters other than ASCII white space. Null and empty texts have no words. A word is removed
     if any window over it also starts earlier; windows are those of the input. Repeated rows are all returned.
+    A text of any length is taken whole, in a batch of its own in one task; an empty table gives no rows; further columns, whatever their
+    names, are left out.
     """
     rows = keyed(docs, id_col, text_col)
 

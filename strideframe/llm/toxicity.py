@@ -197,6 +197,8 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     Cosines are taken over all words; those of no example weigh as if found in no document. A text without words of the examples, such as an empty or null one, has no
     neighbours and gets the share of label 1.
     Without labels all scores are 0. Labels are learnt outside of fold `out_fold`; ids and other columns are no input.
+    A text of any length is taken whole, in a batch of its own in one task; an empty table gives no rows; further columns, whatever their
+    names, are left out.
     """
     rows = keyed(docs, id_col, text_col)
     model = fit(rows, labels, label, fold("id", folds) != out_fold)
