@@ -213,6 +213,10 @@ def feature_frame(events: DataFrame, config: FeatureConfig, order: str | None =
                                config.minimum_seconds, config.maximum_seconds)
     samples = win.compact_samples(events, sensors, order=order)
     rows = win.windowed_sensors(samples, clock, config)
+    if config.wants(*SPECTRAL):
+        # Series are gathered and transformed for kept windows alone; the gate reads the rows of the same exchange.
+        kept = win.quality_gate(rows, config).where("kept").select(*win.WINDOW_KEYS)
+        rows = rows.join(kept, list(win.WINDOW_KEYS), "left_semi")
     groups = group_features(rows, config)
 
     layout = config.feature_columns()

@@ -131,6 +131,13 @@ def test_fft_and_fourier_sum_agree(spark):
         assert left[key] == pytest.approx(row, rel=1e-6, abs=1e-9)
 
 
+def test_spectra_are_taken_of_kept_windows_alone(spark):
+    e = events(spark, list(range(0, 8000, 100)))
+    frame = feat.feature_frame(e, config(window=4000, step=2000, stats=("mean", *feat.SPECTRAL)))
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert -1 < plan.index("spectrum_fft") < plan.index("LeftSemi") and frame.count() > 0
+
+
 def test_features_arrive_once_without_a_sequence_column(spark, tmp_path):
     from strideframe.plans.prepare import build_features
     first, second = events(spark, [0, 500, 1000]).drop("seq"), events(spark, [0, 500, 900], session="s2").drop("seq")
