@@ -224,18 +224,24 @@ def leakage_check(training: DataFrame, predictions: DataFrame, evaluation: DataF
     `training` and `predictions` carry `held_out_participant_id`; `evaluation` holds the rows that
     must be predicted exactly once.
     """
-    text = lambda df, kind, *cols: df.select(F.lit(kind).alias("violation"), F.concat_ws("|", *cols).alias("subject"))
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    keys = [F.col(k).alias(f"_k{i}") for i, k in enumerate(row_key)]
+    part = lambda df, said, wanted: df.select(
+        *keys, F.col("session_id").alias("_session"), said.alias("_said"), wanted.alias("_wanted"))
+    # One signed count: predictions and evaluation are read once, and summed by row and by session together.
+    rows = part(predictions, one, none).unionByName(part(evaluation, none, one))
+    names = [f"_k{i}" for i in range(len(row_key))]
+    sums = rows.groupingSets([names, ["_session"]], *names, "_session").agg(
+        F.grouping("_session").alias("_by_row"), F.sum("_said").alias("_said"), F.sum("_wanted").alias("_wanted"))
+    by_row, said, wanted = F.col("_by_row") == 1, F.col("_said"), F.col("_wanted")
+    kind = (F.when(by_row & (said > 1), "row predicted more than once").when(by_row & (said == 0), "row not predicted")
+            .when(~by_row & (wanted == 0), "unexpected session").when(~by_row & (said == 0), "session not predicted"))
+    subject = F.when(by_row, F.concat_ws("|", *names)).otherwise(F.concat_ws("|", "_session"))
+    found = sums.select(kind.alias("violation"), subject.alias("subject")).where("violation is not null")
     leaked = training.where(F.col("participant_id") == F.col("held_out_participant_id")).select(
         "held_out_participant_id", "session_id").distinct()
-    want = evaluation.select("session_id").distinct()
-    got = predictions.select("session_id").distinct()
-    repeats = predictions.groupBy(*row_key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    unpredicted = evaluation.select(*row_key).join(predictions.select(*row_key), list(row_key), "left_anti")
-    return (text(leaked, "held-out participant in training", "held_out_participant_id", "session_id")
-            .unionByName(text(got.join(want, "session_id", "left_anti"), "unexpected session", "session_id"))
-            .unionByName(text(want.join(got, "session_id", "left_anti"), "session not predicted", "session_id"))
-            .unionByName(text(repeats, "row predicted more than once", *row_key))
-            .unionByName(text(unpredicted, "row not predicted", *row_key)))
+    return found.unionByName(leaked.select(F.lit("held-out participant in training").alias("violation"),
+                                           F.concat_ws("|", "held_out_participant_id", "session_id").alias("subject")))
 
 
 def not_nested(selection: DataFrame) -> DataFrame:

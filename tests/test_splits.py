@@ -156,3 +156,14 @@ def test_ranks_keep_null_keys(spark):
     from strideframe.operators.ordered import ranked
     rows = spark.createDataFrame([(None, 0, 5), (None, 1, 7), ("a", 0, 1)], "k string, b int, v int")
     assert sorted((r.k or "", r.v, r["rank"]) for r in ranked(rows, ["k"], "b", ["v"]).collect()) == [("", 5, 1), ("", 7, 2), ("a", 1, 1)]
+
+
+def test_leakage_is_found_row_by_row_and_session_by_session(spark):
+    from strideframe.operators.splits import leakage_check
+    made = lambda rows: spark.createDataFrame(rows, "k long, session_id string, participant_id string, held_out_participant_id string")
+    evaluation = made([(k, f"s{k // 3}", "p", "p") for k in range(9)])
+    assert leakage_check(made([(1, "x", "q", "p")]), evaluation, evaluation, ["k"]).count() == 0
+    bad = made([(0, "s0", "p", "p"), (0, "s0", "p", "p"), (1, "s0", "p", "p"), (3, "s1", "p", "p"), (4, "s1", "p", "p"), (5, "s1", "p", "p"), (99, "new", "p", "p")])
+    found = sorted(tuple(r) for r in leakage_check(made([(7, "y", "p", "p"), (8, "y", "p", "p")]), bad, evaluation, ["k"]).collect())
+    assert found == [("held-out participant in training", "p|y"), ("row not predicted", "2"), *[("row not predicted", str(k)) for k in (6, 7, 8)],
+                     ("row predicted more than once", "0"), ("session not predicted", "s2"), ("unexpected session", "new")]
