@@ -52,18 +52,25 @@ class Space:
 
 
 def latent(of: np.ndarray, term: np.ndarray, w: np.ndarray, rows: int, columns: int, rank: int) -> np.ndarray:
-    """Leading right singular vectors of a sparse matrix by a randomised range with power steps, from a fixed start."""
+    """Leading right singular vectors of a sparse matrix by power steps from a fixed start.
+
+    Vectors are made orthogonal on the side of the rows alone, which is short; of the side of the columns, that of all
+    terms, there is one matrix at a time.
+    """
     if not len(of):
         return np.zeros((columns, 0), np.float32)
     by = np.lexsort((of, term))
-    ahead = lambda x: product(of, term, w, x, rows)
-    back = lambda x: product(term[by], of[by], w[by], x, columns, 4096)
+    of_, term_, w_ = of[by], term[by], w[by]
+    back = lambda x: product(term_, of_, w_, x, columns, 4096)
     k = min(rank + 10, rows, columns)
-    q = np.linalg.qr(ahead(np.random.default_rng(11).standard_normal((columns, k), np.float32)))[0]
-    for _ in range(4):
-        q = np.linalg.qr(ahead(np.linalg.qr(back(q))[0]))[0]
-    u, s, _ = np.linalg.svd(back(q), full_matrices=False)
-    return u[:, : min(rank, int((s > 1e-5 * s[0]).sum()))].copy()
+    q = np.linalg.qr(np.random.default_rng(11).standard_normal((rows, k)).astype(np.float32))[0]
+    for _ in range(8):
+        q = np.linalg.qr(product(of, term, w, back(q), rows))[0]
+    found = back(q)
+    squares, turn = np.linalg.eigh((found.T @ found).astype(float))
+    size = np.sqrt(np.maximum(squares, 0))[::-1]
+    good = min(rank, int((size > 1e-4 * size[0]).sum()))
+    return found @ (turn[:, ::-1][:, :good] / size[:good]).astype(np.float32)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int = EXAMPLES) -> Space:
@@ -91,6 +98,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
     """
     rows = keyed(docs, id_col, text_col)
     held = docs.sparkSession.sparkContext.broadcast(fit(rows, labels, label, fold("id", folds) != out_fold))
+    pa.default_memory_pool().release_unused()  # the driver needs its memory for the jobs
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
