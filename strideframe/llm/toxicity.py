@@ -38,7 +38,8 @@ def weighted_terms(hashes: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray,
     if not len(hashes):
         return np.zeros(0, np.uint64), np.zeros(0)
     term, at = np.unique(np.concatenate(hashes), return_inverse=True)
-    label = np.repeat(y, [len(h) for h in hashes])
+    at, sizes = at.astype(np.int32), [len(h) for h in hashes]
+    label = np.repeat(y == 1, sizes)
     # Near copies of a text would make its rare words telling, so texts with the same least term hash count once; the
     # least count of several hashes stays.
     seen, size = np.full((2, len(term)), np.inf), np.full((2, 1), np.inf)
@@ -46,7 +47,10 @@ def weighted_terms(hashes: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray,
         least = np.array([int(mix(h ^ np.uint64(k)).min(initial=np.uint64(2**64 - 1))) for h in hashes], np.uint64)
         _, text = np.unique(least, return_inverse=True)
         for c in (0, 1):
-            pair = np.unique(at[label == c] * (len(text) + 1) + np.repeat(text, [len(h) for h in hashes])[label == c])
+            own = label == bool(c)
+            pair = at[own] * np.int64(len(text) + 1)
+            pair += np.repeat(text.astype(np.int32), sizes)[own]
+            pair = np.unique(pair)
             seen[c] = np.minimum(seen[c], np.bincount(pair // (len(text) + 1), minlength=len(term)))
             size[c] = np.minimum(size[c], len(np.unique(text[y == c])))
     seen = np.minimum(seen, size)
@@ -99,13 +103,15 @@ class BlockMaxIndex:
         own = slot[terms] >= 0
         dense = np.zeros((len(many), size))
         dense[slot[terms[own]], place_of[rows[own]]] = weights[own]
-        places, terms, weights = place_of[rows[~own]], terms[~own], weights[~own]
-        order = np.lexsort((places, terms))
-        places, terms, weights = places[order], terms[order], weights[order]
-        entry = terms * (size // BLOCK) + places // BLOCK
-        head = np.flatnonzero(np.diff(entry, prepend=-1))
+        # By term, then place; small numbers, as the driver holds all of it.
+        key = terms[~own] * np.int64(size) + place_of[rows[~own]]
+        weights, order = weights[~own], np.argsort(key, kind="stable")
+        key, weights = key[order], weights[order]
+        places, terms = (key % size).astype(np.int32), (key // size).astype(np.int32)
+        head = np.flatnonzero(np.diff(key // BLOCK, prepend=-1)).astype(np.int32)
         top = np.maximum.reduceat(weights, head) if len(head) else np.zeros(0)
-        return cls(by, slot, dense, places, weights, np.searchsorted(terms[head], np.arange(n_terms + 1)), places[head] // BLOCK, top, np.append(head, len(places)))
+        first = np.searchsorted(terms[head], np.arange(n_terms + 1)).astype(np.int32)
+        return cls(by, slot.astype(np.int32), dense, places, weights, first, places[head] // BLOCK, top, np.append(head, len(places)).astype(np.int32))
 
     def nearest(self, of: np.ndarray, terms: np.ndarray, weights: np.ndarray, m: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each of m texts (`of`, in order) the k rows of the largest dot products above 0, ties by row number."""
@@ -178,14 +184,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int
     vocabulary, factor = weighted_terms(hashes, y)
     n, df = document_frequency(docs, vocabulary, word_terms)
     idf = (np.log((1 + n) / (1 + df)) + 1) * factor
-    rows, terms, weights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-    for i, (h, c) in enumerate(zip(hashes, counts)):
-        at = np.searchsorted(vocabulary, h)
-        w = (1 + np.log(c)) * idf[at]
-        rows.append(np.full(len(w), i))
-        terms.append(at)
-        weights.append(w / max(1e-12, np.sqrt((w**2).sum())))
-    index = BlockMaxIndex.of(np.concatenate(rows), np.concatenate(terms), np.concatenate(weights), max(1, len(ids)), len(vocabulary), y if len(y) else None)
+    ends = np.cumsum([0, *map(len, hashes)])
+    terms, weights = np.empty(ends[-1], np.int32), np.empty(ends[-1])
+    for h, c, i, j in zip(hashes, counts, ends.tolist(), ends[1:].tolist()):
+        terms[i:j] = np.searchsorted(vocabulary, h)
+        w = (1 + np.log(c)) * idf[terms[i:j]]
+        weights[i:j] = w / max(1e-12, np.sqrt((w**2).sum()))
+    rows = np.repeat(np.arange(len(hashes), dtype=np.int32), np.diff(ends))
+    del hashes, counts
+    index = BlockMaxIndex.of(rows, terms, weights, max(1, len(ids)), len(vocabulary), y if len(y) else None)
     share = max(1e-9, float(y.mean())) if len(y) else 1.0
     weight = np.where(y == 1, prior / share, (1 - prior) / max(1e-9, 1 - share)) if len(y) else np.zeros(0)
     return Model(vocabulary, idf, float(np.log(1 + n) + 1), index, ids, y.astype(float), weight / max(1e-9, weight.max(initial=0)), prior)
@@ -203,6 +210,8 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     rows = keyed(docs, id_col, text_col)
     model = fit(rows, labels, label, fold("id", folds) != out_fold)
     held = docs.sparkSession.sparkContext.broadcast(model)
+    del model  # the driver needs its memory for the jobs
+    pa.default_memory_pool().release_unused()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
