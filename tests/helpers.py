@@ -1,4 +1,6 @@
-"""Small hand-made tables."""
+"""Small hand-made tables, and looks at plans."""
+
+from contextlib import contextmanager
 
 from strideframe.schema import EVENT
 
@@ -20,3 +22,27 @@ def events(spark, stamps, domain="collector", session="s1", pressure=None, value
 
 def values(df, *columns):
     return sorted(tuple(r) for r in (df.select(*columns) if columns else df).collect())
+
+
+@contextmanager
+def plain_plans(spark):
+    """Plans as for tables of unknown, large size: no adaptive execution, no broadcast that is not asked for."""
+    wanted = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def nodes(df):
+    """All nodes of a frame's physical plan."""
+    left, found = [df._jdf.queryExecution().executedPlan()], []
+    while left:
+        found.append(left.pop())
+        children = found[-1].children()
+        left += [children.apply(i) for i in range(children.size())]
+    return found
