@@ -2,14 +2,14 @@ import gzip
 import json
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from strideframe.operators import normalize as nz, reports as rp
 from strideframe.plans import prepare
 from strideframe.schema import ROW_LOG_COLUMNS
 from strideframe.sources import files, records
 from strideframe.sources.registry import SourceConfig, read_source, register_source
-from tests.helpers import values
+from tests.helpers import nodes, plain_plans, values
 
 L = {"bus": 0, "car": 1, "train": 2}
 
@@ -271,3 +271,21 @@ def test_lost_record_raises(spark):
         rp.change_detection(local, local.where("false"), "session_id", ["participant_id"]).collect()
     with pytest.raises(Exception, match="lost or altered"):
         rp.change_detection(local, local.withColumn("participant_id", F.lit("q")), "session_id", ["participant_id"]).collect()
+
+
+def test_prefixes_are_cut_to_lengths_of_the_other_side(spark):
+    """Any mix of lengths gives what comparing all pairs gives; ids of one length are one row each in the exchange."""
+    runs = ["", "a", "ab", "abc", "abcdef", "b", "bcd", "xyz", None, "abc"]
+    recorded = [("", "e"), ("abcd", "x"), ("ab", "x"), ("ab", "x"), ("abcdefgh", "x"), ("bc", "y"), (None, "z")]
+    runs_df = spark.createDataFrame([(r,) for r in runs], "run_id string")
+    recorded_df = spark.createDataFrame(recorded, "recorded_id string, condition string")
+    fits = lambda a, b: a is not None and b is not None and (a == b or (a and b and (a.startswith(b) or b.startswith(a))))
+    expected = [(r, next((c for i, c in recorded if fits(r, i)), None)) for r in runs]
+    assert sorted(map(str, rp.prefix_join(runs_df, recorded_df).collect())) == sorted(
+        str(Row(run_id=r, condition=c)) for r, c in expected)
+    ids = spark.range(64).select(F.md5(F.col("id").cast("string")).alias("run_id"))
+    known = ids.select(F.substring("run_id", 1, 12).alias("recorded_id"), F.lit("c").alias("condition"))
+    with plain_plans(spark):
+        found = rp.prefix_join(ids, known)
+        assert [r.condition for r in found.collect()] == ["c"] * 64
+        assert sum(n.metrics().apply("numOutputRows").value() for n in nodes(found) if n.nodeName() == "Generate") <= 2 * 64
