@@ -49,11 +49,27 @@ def set_digest(ids: Column) -> Column:
 
     Exact sums of two md5 numbers per id, so partial aggregates combine and nothing is gathered.
     """
-    return F.struct(F.count(F.lit(1)).alias("n"), F.sum(_number(ids, 1)).alias("a"), F.sum(_number(ids, 17)).alias("b"))
+    return numbers_digest(id_numbers(ids))
 
 
-def _number(ids: Column, start: int) -> Column:
-    return F.conv(F.substring(F.md5(ids.cast("string")), start, 15), 16, 10).cast("decimal(20,0)")
+def id_numbers(ids: Column) -> Column:
+    """The two 60-bit md5 numbers of an id, each as its upper and lower 30 bits: what a set digest adds up."""
+    half = lambda start, size: F.conv(F.substring(F.md5(ids.cast("string")), start, size), 16, 10).cast("bigint")
+    parts = []
+    for name, start in (("a", 1), ("b", 17)):
+        number = half(start, 15)
+        parts += [F.shiftright(number, 30).alias(f"{name}_high"), number.bitwiseAND(F.lit((1 << 30) - 1)).alias(f"{name}_low")]
+    return F.struct(*parts)
+
+
+def numbers_digest(numbers: Column) -> Column:
+    """`set_digest` from `id_numbers`, which a table may hold so that repeated ids are hashed once.
+
+    Halves are added as integers (exact to 2^33 ids, beyond which the sum raises) and put together once per group.
+    """
+    whole = lambda c: (F.sum(numbers[f"{c}_high"]).cast("decimal(20,0)") * F.lit(1 << 30).cast("decimal(10,0)")
+                       + F.sum(numbers[f"{c}_low"]).cast("decimal(20,0)")).cast("decimal(30,0)")
+    return F.struct(F.count(F.lit(1)).alias("n"), whole("a").alias("a"), whole("b").alias("b"))
 
 
 def digest_text(n: Column, a: Column, b: Column) -> Column:

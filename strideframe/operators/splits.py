@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strideframe.config import StudyGrid, calibration_fractions
-from strideframe.functions.digests import digest_text, set_digest
+from strideframe.functions.digests import digest_text, id_numbers, numbers_digest, set_digest
 from strideframe.functions.draws import hash_block, order_key
 from strideframe.functions.scalars import lookup
 from strideframe.operators.ordered import range_blocks, ranked
@@ -160,29 +160,41 @@ def nested_calibration(sessions: DataFrame, fractions: Sequence[float], seeds: S
 
     One md5 order per seed and mode serves every fraction and condition, so smaller subsets are
     prefixes of larger ones: all sessions at fraction 1, else max(1, floor(n * fraction)). A fold's
-    subset is what comes up to its cut-off key and is not its own participant's.
+    subset is what comes up to its cut-off key and is not its own participant's. Cut-off keys are a row
+    for each fold, fraction, seed and mode and go to every task: by seed and mode, a few tasks would do all.
     """
     if any(not 0 < f <= 1 for f in fractions):
         raise ValueError("calibration fractions must be above 0 and at most 1")
     keyed = sessions.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
     keyed = keyed.withColumn("_key", order_key(F.col("seed"), F.col("vehicle_type"), F.col("session_id"))).withColumn(
         "_block", hash_block(F.col("_key")))
-    chosen = keyed.join(calibration_cutoffs(keyed, fractions), ["seed", "vehicle_type"]).where(
+    chosen = keyed.join(F.broadcast(calibration_cutoffs(keyed, fractions)), ["seed", "vehicle_type"]).where(
         (F.col("_key") <= F.col("_last")) & (F.col("participant_id") != F.col("held_out_participant_id")))
     return chosen.select(*sessions.columns, "held_out_participant_id", "seed", "fraction")
 
 
+def numbered_sessions(sessions: DataFrame) -> DataFrame:
+    """Sessions written once with the digest numbers of their id, for the many steps and folds that read them."""
+    return cut_lineage(sessions.withColumn("_numbers", id_numbers(F.col("session_id"))))
+
+
 def effective_fractions(sessions: DataFrame, selection: DataFrame) -> DataFrame:
-    """What share of the pool's sessions, windows and duration each selection holds."""
+    """What share of the pool's sessions, windows and duration each selection holds.
+
+    A selection has a session once for each fold and fraction, so its ids are hashed before, by `numbered_sessions`,
+    or else here.
+    """
     span = F.sum(F.col("window_end_ms") - F.col("window_start_ms")) / 1000.0
     parts = sessions.groupBy("participant_id").agg(
         F.count(F.lit(1)).alias("_s"), F.sum("window_rows").alias("_w"), span.alias("_d"))
     whole = parts.agg(*[F.sum(c).alias(c) for c in ("_s", "_w", "_d")])
     pool = parts.withColumn("_all", whole.select(F.struct("_s", "_w", "_d")).scalar()).select(
         F.col("participant_id").alias("held_out_participant_id"), *[(F.col(f"_all.{c}") - F.col(c)).alias(c) for c in ("_s", "_w", "_d")])
+    if "_numbers" not in selection.columns:
+        selection = selection.withColumn("_numbers", id_numbers(F.col("session_id")))
     chosen = selection.groupBy("held_out_participant_id", "seed", "fraction").agg(
         F.count(F.lit(1)).alias("sessions"), F.sum("window_rows").alias("windows"), span.alias("duration_seconds"),
-        set_digest(F.col("session_id")).alias("_x"))
+        numbers_digest(F.col("_numbers")).alias("_x"))
     return chosen.join(pool, "held_out_participant_id").select(
         "held_out_participant_id", "seed", "fraction", "sessions", "windows", "duration_seconds",
         (F.col("sessions") / F.col("_s")).alias("session_fraction"),

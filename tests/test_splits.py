@@ -1,10 +1,12 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from strideframe.config import StudyGrid, calibration_fractions
-from strideframe.functions.digests import content_digest
+from strideframe.functions.digests import content_digest, set_digest
 from strideframe.operators import splits as sp, weights as wt
-from tests.helpers import values
+from tests.helpers import nodes, plain_plans, values
 
 L = {"bus": 0, "car": 1, "train": 2}
 
@@ -167,3 +169,25 @@ def test_leakage_is_found_row_by_row_and_session_by_session(spark):
     found = sorted(tuple(r) for r in leakage_check(made([(7, "y", "p", "p"), (8, "y", "p", "p")]), bad, evaluation, ["k"]).collect())
     assert found == [("held-out participant in training", "p|y"), ("row not predicted", "2"), *[("row not predicted", str(k)) for k in (6, 7, 8)],
                      ("row predicted more than once", "0"), ("session not predicted", "s2"), ("unexpected session", "new")]
+
+
+def test_selections_move_no_session_by_mode_and_hash_each_once(spark):
+    """The cut-off keys go to every task, and digests from the numbers that sessions hold are those of the ids."""
+    rows = [(f"s{i}", f"p{i % 4}", "bus" if i % 3 else "car", i, 1000 * i, 1000 * i + 500) for i in range(40)]
+    sessions = spark.createDataFrame(rows, "session_id string, participant_id string, vehicle_type string, window_rows bigint, window_start_ms bigint, window_end_ms bigint")
+    numbered = sp.numbered_sessions(sessions)
+    with plain_plans(spark):
+        chosen = sp.nested_calibration(numbered, (0.5, 1.0), (1,))
+        assert next(n.nodeName() for n in nodes(chosen) if n.nodeName().endswith("Join")) == "BroadcastHashJoin"
+    found = sp.effective_fractions(numbered, chosen)
+    assert found.count() == 8
+    assert values(found) == values(sp.effective_fractions(sessions, sp.nested_calibration(sessions, (0.5, 1.0), (1,))))
+
+
+def test_set_digest_adds_md5_numbers(spark):
+    ids = ["a", "b", "b", None, "é"]
+    number = lambda x, at: int(hashlib.md5(x.encode()).hexdigest()[at : at + 15], 16)
+    (found,) = spark.createDataFrame([(x,) for x in ids], "id string").agg(set_digest(F.col("id")).alias("d")).select("d.*").collect()
+    assert (found.n, int(found.a), int(found.b)) == (5, *(sum(number(x, at) for x in ids if x is not None) for at in (0, 16)))
+    (none,) = spark.createDataFrame([(None,)], "id string").agg(set_digest(F.col("id")).alias("d")).select("d.*").collect()
+    assert (none.n, none.a, none.b) == (1, None, None)

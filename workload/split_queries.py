@@ -88,7 +88,7 @@ WHERE k <= CASE WHEN fraction = 1 THEN n ELSE greatest(1, CAST(floor(n * fractio
 
 
 def selection(spark, sf):
-    sessions = sp.session_rollup(v.predictions(spark, sf))
+    sessions = sp.numbered_sessions(sp.session_rollup(v.predictions(spark, sf)))
     return sessions, sp.nested_calibration(sessions, (0.1, 0.5, 1.0), (42, 43))
 
 
