@@ -76,6 +76,31 @@ def test_tagged_values_are_kept_at_any_depth(spark):
     assert sorted(v[1] for v in found.values()) == ["end", "x"]
 
 
+def test_tagged_documents_are_read_once_and_odd_ones_by_spark(spark, monkeypatch):
+    plain = [
+        '{"a":{"S":"x"}}', '{"":{"S":""},"a.b":{"M":{"c":{"N":"1"}}}}', '{"b":{"BOOL":true},"c":{"BOOL":"false"},"n":{"NULL":true}}', "{}", None,
+        ' {"m":{"M":{}},"l":{"L":[]},"s":{"BS":["p","q"]}}', '{"l":{"L":[{"L":[{"S":"y"},{"M":{"k":{"N":"2.5"}}}]},{"NULL":true},{"N":"3"},{"BOOL":false}]}}',
+        '{"e":{"S":"\\ud83d\\ude00 \\u00e9 \u00e9\U0001f600\\n"}}', '{"d":' + '{"M":{"in":' * 30 + '{"S":"end"}' + "}}" * 30 + "}"]
+    odd = [
+        '{"a":{"N":5},"b":{"N":1.50},"c":{"N":-2e3}}', '{"a":{"S":{"x": 1}}}', '{"a":{"S":"1"},"a":{"S":"2"}}', '{"a":{"S":"1","N":"2"}}', '{"a":{"S":"x"}', '{"a":{"S":"x"}} more',
+        '{"e":{"S":"\\ud83d"}}', "[]", "", "none", '{"l":{"L":[{"S":null},{"N":3}]}}', '{"n":{"NULL":5},"m":{"M":null}}', '{"s":{"SS":["a",null]},"t":{"NS":[1,2]},"u":{"SS":"a"}}',
+        "{'a':{'S':'x'}}", '{"a":{"S":null}}']
+    make = lambda texts: spark.createDataFrame([(k if k % 4 else None, "key", x) for k, x in enumerate(texts)], "id long, other string, d string")
+    said = lambda texts: sorted(map(str, records.decode_tagged(make(texts), "d", ["id", "other"]).collect()))
+    whole, level = records._read_whole, records._unnested
+    monkeypatch.setattr(records, "_unnested", None)
+    first = said(plain)
+    assert len(first) == 13 and said([]) == []
+    monkeypatch.setattr(records, "_unnested", level)
+    both = said(plain + odd)
+
+    def none_read(rows, column, keys):
+        return rows.select(*[F.when(F.lit(False), F.lit(None)).cast(f.dataType).alias(f.name) if f.name not in keys and f.name != "_odd" else
+                             F.col(column).cast("binary").alias("_odd") if f.name == "_odd" else F.col(f.name) for f in whole(rows, column, keys).schema]).where("_odd IS NOT NULL")
+    monkeypatch.setattr(records, "_read_whole", none_read)
+    assert said(plain) == first and said(plain + odd) == both
+
+
 def test_drains_read_every_key_once(spark, tmp_path, monkeypatch):
     from strideframe import sinks
     make = lambda n: spark.createDataFrame([(f"s{k}", f"k{k // 2:03d}", "in" if k % 3 else "out") for k in range(n)] + [("none", None, "in")], "session_id string, sync_key string, sync_partition string")
