@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from strideframe.functions.digests import content_digest
 from strideframe.session import partitioned
 
+#: Column and folders of the pages that are appended together.
+PAGE = "_page"
+
 
 def _file_system(spark: SparkSession, path: str):
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -70,34 +73,44 @@ def _published(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().getName() for f in system.listStatus(folder)) if system.exists(folder) else []
 
 
+def _batches(spark: SparkSession, path: str, what: str) -> DataFrame | None:
+    """Rows or keys of the published batches. A batch that was written with others is a folder `PAGE=n` of theirs."""
+    batches = _published(spark, path)
+    return spark.read.parquet(*[f"{path}/{what}-{b.replace('.', f'/{PAGE}=')}" for b in batches]) if batches else None
+
+
 def read_appended(spark: SparkSession, path: str) -> DataFrame | None:
     """Rows of all published batches of an appended table; None before the first."""
-    batches = _published(spark, path)
-    return spark.read.parquet(*[f"{path}/rows-{b}" for b in batches]) if batches else None
+    return _batches(spark, path, "rows")
 
 
 def recorded_keys(spark: SparkSession, path: str) -> DataFrame | None:
     """Keys of the published batches, one row each."""
-    batches = _published(spark, path)
-    return spark.read.parquet(*[f"{path}/keys-{b}" for b in batches]) if batches else None
+    return _batches(spark, path, "keys")
 
 
-def append_unseen(new: DataFrame, path: str, key: str = "session_id") -> None:
+def append_unseen(new: DataFrame, path: str, key: str = "session_id", pages: int | None = None) -> None:
     """Append rows of keys the target does not hold yet, all or none of them.
 
     A batch and the list of its keys are written to folders of their own and then published by one marker file;
     readers (`read_appended`) see published batches only, so what a crash leaves behind is never read. Rows of a
     recorded key that arrive later are ignored.
+
+    With `pages`, the column PAGE (0..pages-1) deals the rows out to as many batches, all rows of a key to one. They are written
+    together, and then published one after the other, page 0 first, so a crash leaves whole pages, all those before the first lost one.
     """
     spark = new.sparkSession
     seen = recorded_keys(spark, path)
     if seen is not None:
         new = new.join(seen, new[key].eqNullSafe(seen[key]), "left_anti")
+    by = [] if pages is None else [PAGE]
     batch = uuid.uuid4().hex
-    new.write.parquet(f"{path}/rows-{batch}")
-    spark.read.schema(new.schema).parquet(f"{path}/rows-{batch}").select(key).distinct().write.parquet(f"{path}/keys-{batch}")
-    system, marker = _file_system(spark, f"{path}/_published/{batch}")
-    system.create(marker, False).close()
+    partitioned(new, by).parquet(f"{path}/rows-{batch}")
+    keys = spark.read.schema(new.schema).parquet(f"{path}/rows-{batch}").select(key, *by).distinct()
+    partitioned(keys, by).parquet(f"{path}/keys-{batch}")
+    for name in [batch] if pages is None else [f"{batch}.{k}" for k in range(pages) if exists(spark, f"{path}/rows-{batch}/{PAGE}={k}")]:
+        system, marker = _file_system(spark, f"{path}/_published/{name}")
+        system.create(marker, False).close()
 
 
 def write_delimited(df: DataFrame, path: str) -> None:

@@ -2,7 +2,7 @@ import gzip
 import json
 
 import pytest
-from pyspark.sql import Row, functions as F
+from pyspark.sql import Row, Window, functions as F
 
 from strideframe.operators import normalize as nz, reports as rp
 from strideframe.plans import prepare
@@ -121,6 +121,35 @@ def test_drains_read_every_key_once(spark, tmp_path, monkeypatch):
     assert records.drain_keys(make(40), "in", path, 100) == 0
 
 
+def test_drains_find_all_pages_by_the_same_passes(spark, tmp_path, monkeypatch):
+    import random
+
+    from strideframe import sinks
+    from strideframe.operators.ordered import range_blocks
+    # Blocks of few keys, with equal keys across the places where a page would end.
+    monkeypatch.setattr(records, "range_blocks", lambda df, keys, order: range_blocks(df.withColumn("_x", F.lit(0)), ["_x"], order).drop("_x").withColumn("_block", (F.row_number().over(Window.orderBy(*order)) / 7).cast("int")))
+    draw = random.Random(3)
+    for name, times in (("one", lambda: 1), ("pairs", lambda: 2), ("mixed", lambda: draw.choice([1, 1, 1, 1, 4, 13]))):
+        keys = [f"k{k:03d}" for k in range(60) for _ in range(times())]
+        want, held = [], 0  # a loop over the sorted keys
+        for at, k in enumerate(keys):
+            held += 1
+            if held >= 10 and (at + 1 == len(keys) or keys[at + 1] != k):
+                want, held = [*want, k], 0
+        want += [keys[-1]] if held else []
+        draw.shuffle(keys)
+        rows = spark.createDataFrame([(f"s{i}", k, "in") for i, k in enumerate(keys)], "session_id string, sync_key string, sync_partition string").repartition(3)
+        assert records.page_ends(rows.select("sync_key"), "sync_key", 10) == want
+        path, scans = str(tmp_path / name), []
+        scan = records.incremental_key_scan
+        monkeypatch.setattr(records, "incremental_key_scan", lambda *a: scans.append(a) or scan(*a))
+        assert records.drain_keys(rows, "in", path, 10) == len(want) and len(scans) == 2
+        monkeypatch.setattr(records, "incremental_key_scan", scan)
+        batches = [[r[0] for r in spark.read.parquet(f"{path}/rows-{b.replace('.', '/_page=')}").select("sync_key").collect()] for b in sinks._published(spark, path)]
+        assert sorted(max(b) for b in batches) == want and sorted(sum(batches, [])) == sorted(keys)
+        assert sinks.read_appended(spark, path).columns == rows.columns and sinks.recorded_keys(spark, path).count() == len(set(keys))
+
+
 def test_exports_without_rows_keep_their_header(spark, tmp_path):
     from strideframe import sinks
     sinks.write_delimited(spark.createDataFrame([], "a int, b string"), str(tmp_path / "x"))
